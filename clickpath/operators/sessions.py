@@ -8,12 +8,10 @@ from clickpath.operators.skew import BLOCK_COLUMNS, HEAVY_ROWS, heavy_keys, in_b
 from clickpath.schema import DOMAIN, ORDER, SESSION, TIME, USER
 
 
-def _in_block():
-    return Window.partitionBy(USER, "_block").orderBy(*ORDER)
-
-
-def _whole_block():
-    return Window.partitionBy(USER, "_block")
+IN_BLOCK = f"PARTITION BY {USER}, _block ORDER BY {', '.join(ORDER)}"
+WHOLE_BLOCK = f"PARTITION BY {USER}, _block"
+BY_BLOCK = f"PARTITION BY {USER} ORDER BY _block"
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def _by_pos():
@@ -27,7 +25,8 @@ def with_dwell(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     for a user with one event.
     """
     blocks = in_blocks(events, USER, TIME, heavy_rows)
-    return _dwell(blocks, _block_edges(blocks, gap=None)).drop("_offset", *BLOCK_COLUMNS)
+    edges = _block_edges(blocks, gap=0)
+    return _dwell(blocks, edges).select(*events.columns, "dwell")
 
 
 def sessionize(events: DataFrame, gap: int = 1800, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -38,55 +37,46 @@ def sessionize(events: DataFrame, gap: int = 1800, heavy_rows: int = HEAVY_ROWS)
     lengths run on the same partitioning.
     """
     blocks = in_blocks(events, USER, TIME, heavy_rows)
-    dwell = _dwell(blocks, _block_edges(blocks, gap))
-    earlier = _in_block().rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.sum((F.col("dwell") > gap).cast("bigint")).over(earlier)
-    numbered = dwell.withColumn(
-        "session_no", F.coalesce(breaks, F.lit(0)) + F.coalesce("_offset", F.lit(0))
-    ).drop("_offset")
-    in_block = F.count(F.lit(1)).over(Window.partitionBy(USER, "_block", "session_no"))
-    across = _sessions_across_blocks(numbered)
+    numbered = _dwell(blocks, _block_edges(blocks, gap)).selectExpr(
+        *events.columns, *BLOCK_COLUMNS, "dwell",
+        f"""coalesce(sum(if(dwell > {gap}, 1L, 0L)) OVER ({IN_BLOCK} {EARLIER}), 0)
+            + coalesce(_offset, 0) AS session_no""")
+    in_block = f"count(1) OVER (PARTITION BY {USER}, _block, session_no) AS _n"
     return (
-        numbered.withColumn("_n", in_block)
-        .join(F.broadcast(across), SESSION, "left")
-        .withColumn("n_events", F.coalesce("_total", "_n"))
-        .drop("_n", "_total", *BLOCK_COLUMNS)
+        numbered.selectExpr(*events.columns, "dwell", "session_no", in_block)
+        .join(F.broadcast(_sessions_across_blocks(numbered)), SESSION, "left")
+        .selectExpr(*events.columns, "dwell", "session_no", "coalesce(_total, _n) AS n_events")
     )
 
 
-def _block_edges(blocks: DataFrame, gap: int | None) -> DataFrame:
+def _block_edges(blocks: DataFrame, gap: int) -> DataFrame:
     """Per block of a heavy user: when the next block starts, and how many
     session breaks lie before the block. At most 2 * SHARE rows."""
-    heavy = blocks.where(F.col("_rows").isNotNull())
-    by_block = Window.partitionBy(USER).orderBy("_block")
-    if gap is None:
-        edges = heavy.groupBy(USER, "_block").agg(F.min(TIME).alias("_start"))
-        return edges.select(USER, "_block", F.lead("_start").over(by_block).alias("_next"),
-                            F.lit(0).alias("_offset"))
-    step = F.lead(TIME).over(_in_block()) - F.col(TIME)
-    edges = (
-        heavy.select(USER, "_block", TIME, (step > gap).alias("_break"))
-        .groupBy(USER, "_block")
-        .agg(F.min(TIME).alias("_start"), F.max(TIME).alias("_end"),
-             F.count_if("_break").alias("_breaks"))
-        .withColumn("_next", F.lead("_start").over(by_block))
+    steps = blocks.where("_rows IS NOT NULL").selectExpr(
+        USER, "_block", TIME, f"lead({TIME}) OVER ({IN_BLOCK}) - {TIME} > {gap} AS _break")
+    return (
+        steps.groupBy(USER, "_block")
+        .agg(F.expr(f"min({TIME}) AS _start"), F.expr(f"max({TIME}) AS _end"),
+             F.expr("count_if(_break) AS _breaks"))
+        .selectExpr("*", f"lead(_start) OVER ({BY_BLOCK}) AS _next")
+        .selectExpr(USER, "_block", "_next",
+                    f"sum(_breaks + if(_next - _end > {gap}, 1, 0)) OVER ({BY_BLOCK} {EARLIER}) AS _offset")
     )
-    own = F.col("_breaks") + F.coalesce((F.col("_next") - F.col("_end") > gap).cast("bigint"), F.lit(0))
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    return edges.select(USER, "_block", "_next", F.sum(own).over(before).alias("_offset"))
 
 
 def _dwell(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    following = F.coalesce(F.lead(TIME).over(_in_block()), F.col("_next"))
-    # the gaps of a user add up to the whole time range
-    first = F.coalesce("_first", F.min(TIME).over(_whole_block()))
-    last = F.coalesce("_last", F.max(TIME).over(_whole_block()))
-    rows = F.coalesce("_rows", F.count(F.lit(1)).over(_whole_block()))
-    mean = F.when(rows > 1, (last - first) / (rows - 1))
+    """Adds ``dwell``. The gaps of a user add up to the whole time range, which
+    gives their mean."""
+    window = f"OVER ({WHOLE_BLOCK})"
     return (
         blocks.join(F.broadcast(edges), [USER, "_block"], "left")
-        .withColumn("dwell", F.coalesce((following - F.col(TIME)).cast("double"), mean))
-        .drop("_next")
+        .selectExpr(
+            *blocks.columns, "_offset",
+            f"coalesce(lead({TIME}) OVER ({IN_BLOCK}), _next) - {TIME} AS _step",
+            f"coalesce(_last - _first, max({TIME}) {window} - min({TIME}) {window}) AS _range",
+            f"coalesce(_rows, count(1) {window}) AS _count")
+        .selectExpr(*blocks.columns, "_offset",
+                    "coalesce(cast(_step AS double), try_divide(_range, _count - 1)) AS dwell")
     )
 
 
@@ -94,12 +84,9 @@ def _sessions_across_blocks(numbered: DataFrame) -> DataFrame:
     """Lengths of heavy users' sessions that cross a block edge: at most one
     per edge, so at most 2 * SHARE rows."""
     return (
-        numbered.where(F.col("_rows").isNotNull())
-        .groupBy(*SESSION)
-        .agg(F.count(F.lit(1)).alias("_total"), F.min("_block").alias("_from"),
-             F.max("_block").alias("_to"))
-        .where(F.col("_from") < F.col("_to"))
-        .select(*SESSION, "_total")
+        numbered.where("_rows IS NOT NULL").groupBy(*SESSION)
+        .agg(F.expr("count(1) AS _total"), F.expr("min(_block) AS _from"), F.expr("max(_block) AS _to"))
+        .where("_from < _to").select(*SESSION, "_total")
     )
 
 

@@ -15,9 +15,7 @@ HEAVY_ROWS = 1_000_000
 
 def heavy_limit(counts: DataFrame, count: str, heavy_rows: int):
     """Scalar: the row count above which a key is heavy."""
-    return counts.agg(
-        F.greatest(F.lit(heavy_rows), F.ceil(F.sum(count) / SHARE))
-    ).scalar()
+    return counts.agg(F.expr(f"greatest({heavy_rows}, ceil(sum({count}) / {SHARE}))")).scalar()
 
 
 def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -33,17 +31,16 @@ def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) ->
     give the row count and the time range of the whole key, else null. Blocks
     follow time, and there are at most 2 * SHARE of them over all heavy keys.
     """
-    stats = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+    stats = df.groupBy(key).agg(F.expr("count(1) AS _rows"), F.expr(f"min({at}) AS _first"),
+                                F.expr(f"max({at}) AS _last"))
     limit = heavy_limit(stats, "_rows", heavy_rows)
     heavy = stats.where(F.col("_rows") > limit).withColumn(
         "_slices", F.ceil(F.col("_rows") / limit))
-    slot = F.floor((F.col(at) - F.col("_first")) * F.col("_slices")
-                   / (F.col("_last") - F.col("_first") + 1))
+    slot = f"floor(({at} - _first) * _slices / (_last - _first + 1))"
     return (
         df.join(F.broadcast(heavy), key, "left")
-        .withColumn("_block", F.coalesce(slot, F.lit(0)).cast("int"))
-        .drop("_slices")
+        .selectExpr(*df.columns, "_rows", "_first", "_last",
+                    f"cast(coalesce({slot}, 0) AS int) AS _block")
         .repartition(key, "_block")
     )
 

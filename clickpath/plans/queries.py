@@ -35,12 +35,12 @@ def r6(value: Column | str) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, 6)
 
 
-def digest(vec: Column) -> tuple[Column, Column]:
+def digest(vec: str) -> tuple[Column, Column]:
     """Plain and place-weighted sum of a vector: two numbers that change with
     any element."""
-    plain = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x)
-    weighted = F.aggregate(F.transform(vec, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
-    return F.round(plain, 6), F.round(weighted, 6)
+    total = "aggregate({}, 0D, (acc, x) -> acc + x)"
+    return (F.expr(f"round({total.format(vec)}, 6)"),
+            F.expr(f"round({total.format(f'transform({vec}, (x, i) -> x * (i + 1))')}, 6)"))
 
 
 # -- sources and keywords ----------------------------------------------------
@@ -51,13 +51,13 @@ def _scan(df: DataFrame) -> DataFrame:
 
 @query
 def scan_impressions(spark, sf_dir):
-    logs = views.actions(spark, sf_dir).where(F.col("is_click") == 0)
+    logs = views.impressions(views.actions(spark, sf_dir))
     return _scan(sources.project_impressions(logs, "sec", "domain", "keywords"))
 
 
 @query
 def scan_clicks(spark, sf_dir):
-    logs = views.actions(spark, sf_dir).where(F.col("is_click") == 1)
+    logs = views.clicks(views.actions(spark, sf_dir))
     return _scan(sources.project_clicks(logs, "sec", "domain", "keywords"))
 
 
@@ -74,49 +74,57 @@ def keyword_counts(spark, sf_dir):
 
 @query
 def keyword_full_join(spark, sf_dir):
-    return keywords.joint_keywords(views.impressions(spark, sf_dir), views.clicks(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    return keywords.joint_keywords(views.impressions(acts), views.clicks(acts))
 
 
 @query
 def keyword_vectors(spark, sf_dir):
-    words = keywords.all_keywords(views.impressions(spark, sf_dir), views.clicks(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    words = keywords.all_keywords(views.impressions(acts), views.clicks(acts))
     known = keywords.filter_vocab(words, views.keyword_vectors(spark, sf_dir))
     return vectors.long_form(known, ["word"]).select("word", "dim", r6(F.col("value").cast("double")).alias("value"))
 
 
 @query
 def publisher_list(spark, sf_dir):
-    return keywords.distinct_domains(views.impressions(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    return keywords.distinct_domains(views.impressions(acts))
 
 
 @query
 def merchant_list(spark, sf_dir):
-    return keywords.distinct_domains(views.clicks(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    return keywords.distinct_domains(views.clicks(acts))
 
 
 @query
 def merchants_in_data(spark, sf_dir):
+    acts = views.actions(spark, sf_dir)
     return keywords.merchants_in_data(
-        views.merchants(spark, sf_dir), views.model_sessions(spark, sf_dir))
+        views.merchants(acts), views.model_sessions(acts))
 
 
 @query
 def publishers_in_data(spark, sf_dir):
+    acts = views.actions(spark, sf_dir)
     return keywords.publishers_in_data(
-        views.merchants(spark, sf_dir), views.model_sessions(spark, sf_dir))
+        views.merchants(acts), views.model_sessions(acts))
 
 
 @query
 def vocab_index(spark, sf_dir):
-    return numbering.vocabulary(views.model_sessions(spark, sf_dir), views.merchants(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    return numbering.vocabulary(views.model_sessions(acts), views.merchants(acts))
 
 
 # -- histories ---------------------------------------------------------------
 
 def _histories(spark, sf_dir):
+    acts = views.actions(spark, sf_dir)
     both = histories.users_with_both(
-        views.daily_cookies(views.impressions(spark, sf_dir)),
-        views.daily_cookies(views.clicks(spark, sf_dir)))
+        views.daily_cookies(views.impressions(acts)),
+        views.daily_cookies(views.clicks(acts)))
     return histories.order_history(both)
 
 
@@ -191,59 +199,64 @@ def sessions_roundtrip(spark, sf_dir):
 
 @query
 def drop_repeats(spark, sf_dir):
-    return sessions.drop_repeats(views.model_sessions(spark, sf_dir)).select(*STEP, "domain")
+    acts = views.actions(spark, sf_dir)
+    return sessions.drop_repeats(views.model_sessions(acts)).select(*STEP, "domain")
 
 
 @query
 def flat_sessions(spark, sf_dir):
-    flat = stored(views.flat_sessions(spark, sf_dir), "flat")
+    acts = views.actions(spark, sf_dir)
+    flat = stored(views.flat_sessions(acts), "flat")
     numbered = numbering.number_sessions(flat)
     return flat.join(numbered, SESSION).select("session_id", "pos", "domain")
 
 
 @query
 def shuffled_sessions(spark, sf_dir):
-    return sessions.shuffle_sessions(views.model_sessions(spark, sf_dir), seed=7).select(*STEP, "event_id")
+    acts = views.actions(spark, sf_dir)
+    return sessions.shuffle_sessions(views.model_sessions(acts), seed=7).select(*STEP, "event_id")
 
 
 @query
 def sample_sessions(spark, sf_dir):
-    return sessions.sample_sessions(views.model_sessions(spark, sf_dir), 200, seed=7)
+    acts = views.actions(spark, sf_dir)
+    return sessions.sample_sessions(views.model_sessions(acts), 200, seed=7)
 
 
 @query
 def next_item_pairs(spark, sf_dir):
-    return sessions.next_item_pairs(views.flat_sessions(spark, sf_dir)).select(*STEP, "domain", "target")
+    acts = views.actions(spark, sf_dir)
+    return sessions.next_item_pairs(views.flat_sessions(acts)).select(*STEP, "domain", "target")
 
 
 @query
 def seen_before(spark, sf_dir):
-    return sessions.with_seen_before(views.flat_sessions(spark, sf_dir)).select(*STEP, "domain", "seen_before")
+    acts = views.actions(spark, sf_dir)
+    return sessions.with_seen_before(views.flat_sessions(acts)).select(*STEP, "domain", "seen_before")
 
 
 # -- runs and context --------------------------------------------------------
 
-def _runs(spark, sf_dir, day_from="own"):
+def _runs(acts, day_from="own"):
     return context.collapse_runs(
-        views.model_sessions(spark, sf_dir), views.merchants(spark, sf_dir), day_from)
+        views.model_sessions(acts), views.merchants(acts), day_from)
 
 
-def _runs_with_means(spark, sf_dir):
-    runs = stored(_runs(spark, sf_dir), "runs")
-    words = views.keyword_vectors(spark, sf_dir)
+def _runs_with_means(acts, words):
+    runs = stored(_runs(acts), "runs")
     means = vectors.domain_keyword_mean(keywords.domain_keywords(runs), words, DIM)
     return vectors.run_keyword_mean(runs, words, means, DIM)
 
 
 @query
 def collapse_runs(spark, sf_dir):
-    return _runs(spark, sf_dir).select(
+    return _runs(views.actions(spark, sf_dir)).select(
         *RUN, "domain", joined("keywords"), "dwell_bucket", "hour", "day", "is_merchant")
 
 
 @query
 def collapse_runs_boundary_day(spark, sf_dir):
-    return _runs(spark, sf_dir, "boundary").select(*RUN, "domain", "day")
+    return _runs(views.actions(spark, sf_dir), "boundary").select(*RUN, "domain", "day")
 
 
 @query
@@ -270,20 +283,19 @@ def context_one_hot(spark, sf_dir):
         vec = one_hot(F.col(name), size)
         places += [(F.array_position(vec, 1.0) - 1).cast("int").alias(f"{name}_slot"),
                    F.size(vec).alias(f"{name}_size")]
-    return _runs(spark, sf_dir).select(*RUN, *places)
+    return _runs(views.actions(spark, sf_dir)).select(*RUN, *places)
 
 
 @query
 def context_vector(spark, sf_dir):
-    vec = F.col("context")
-    plain, weighted = digest(vec)
-    return context.with_context_vector(_runs_with_means(spark, sf_dir)).select(
-        *RUN, F.size(vec).alias("dims"), plain.alias("plain_sum"), weighted.alias("weighted_sum"))
+    plain, weighted = digest("context")
+    return context.with_context_vector(_runs_with_means(views.actions(spark, sf_dir), views.keyword_vectors(spark, sf_dir))).select(
+        *RUN, F.size("context").alias("dims"), plain.alias("plain_sum"), weighted.alias("weighted_sum"))
 
 
 @query
 def next_context(spark, sf_dir):
-    steps = context.as_steps(_runs(spark, sf_dir))
+    steps = context.as_steps(_runs(views.actions(spark, sf_dir)))
     names = ["domain", "dwell_bucket", "hour", "day", "is_merchant"]
     return sessions.with_next(steps, names).where(F.col("next_domain").isNotNull()).select(
         *STEP, "domain", *[f"next_{n}" for n in names])
@@ -293,52 +305,49 @@ def next_context(spark, sf_dir):
 
 @query
 def domain_keywords(spark, sf_dir):
-    return keywords.domain_keywords(_runs(spark, sf_dir))
+    return keywords.domain_keywords(_runs(views.actions(spark, sf_dir)))
 
 
 @query
 def domain_keyword_mean(spark, sf_dir):
-    words = keywords.domain_keywords(_runs(spark, sf_dir))
+    words = keywords.domain_keywords(_runs(views.actions(spark, sf_dir)))
     means = vectors.domain_keyword_mean(words, views.keyword_vectors(spark, sf_dir), DIM)
     return vectors.long_form(means, ["domain"]).withColumn("value", r6("value"))
 
 
 @query
 def run_keyword_mean(spark, sf_dir):
-    plain, weighted = digest(F.col("kw_vec"))
-    return _runs_with_means(spark, sf_dir).select(
+    plain, weighted = digest("kw_vec")
+    return _runs_with_means(views.actions(spark, sf_dir), views.keyword_vectors(spark, sf_dir)).select(
         *RUN, "domain", plain.alias("plain_sum"), weighted.alias("weighted_sum"))
 
 
-def _prior(spark, sf_dir):
-    return vectors.merchant_prior(views.merchants(spark, sf_dir), views.domain_vectors(spark, sf_dir))
-
-
 @query
 def merchant_prior(spark, sf_dir):
-    return vectors.long_form(_prior(spark, sf_dir), []).withColumn("value", r6("value"))
+    found = views.merchants(views.actions(spark, sf_dir))
+    prior = vectors.merchant_prior(found, views.domain_vectors(spark, sf_dir))
+    return vectors.long_form(prior, []).withColumn("value", r6("value"))
 
 
 @query
 def domain_vector_lookup(spark, sf_dir):
-    domains = views.actions(spark, sf_dir).select("domain").distinct()
-    found = vectors.lookup_vector(
-        domains, views.domain_vectors(spark, sf_dir), _prior(spark, sf_dir).scalar())
+    acts, vecs = views.actions(spark, sf_dir), views.domain_vectors(spark, sf_dir)
+    prior = vectors.merchant_prior(views.merchants(acts), vecs).scalar()
+    found = vectors.lookup_vector(keywords.distinct_domains(acts), vecs, prior)
     return vectors.long_form(found, ["domain"]).withColumn("value", r6("value"))
 
 
-def _visited_vectors(spark, sf_dir, flat=None):
+def _visited_vectors(acts, vecs, flat):
     """Flat sessions with the running mean of the visited vectors."""
-    flat = views.flat_sessions(spark, sf_dir) if flat is None else flat
-    known = vectors.lookup_vector(
-        flat, views.domain_vectors(spark, sf_dir), _prior(spark, sf_dir).scalar())
-    return vectors.session_vector(known)
+    prior = vectors.merchant_prior(views.merchants(acts), vecs).scalar()
+    return vectors.session_vector(vectors.lookup_vector(flat, vecs, prior))
 
 
 @query
 def session_vector(spark, sf_dir):
-    plain, weighted = digest(F.col("session_vec"))
-    return _visited_vectors(spark, sf_dir).select(
+    plain, weighted = digest("session_vec")
+    acts = views.actions(spark, sf_dir)
+    return _visited_vectors(acts, views.domain_vectors(spark, sf_dir), views.flat_sessions(acts)).select(
         *STEP, "domain", plain.alias("plain_sum"), weighted.alias("weighted_sum"))
 
 
@@ -371,53 +380,59 @@ def _steps(test: DataFrame) -> DataFrame:
 
 @query
 def knn_scores(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     scores = recommend.knn_scores(_steps(test), recommend.item_knn(train, SESSION))
     return scores.withColumn("score", r6("score"))
 
 
 @query
 def session_popular_scores(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train))
     return scores.withColumn("score", r6("score"))
 
 
 @query
 def recommend_topk(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train))
     return recommend.recommend(scores.withColumn("score", F.round("score", 9)), 5).withColumn("score", r6("score"))
 
 
 @query
 def recommend_by_kind(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
-    vocab = numbering.vocabulary(train, views.merchants(spark, sf_dir))
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    vocab = numbering.vocabulary(train, views.merchants(acts))
     scores = recommend.session_popular_scores(test, recommend.popularity(train)).withColumn(
         "score", F.round("score", 9))
     return recommend.recommend_by_kind(scores, vocab, 3).withColumn("score", r6("score"))
 
 
-def _vector_sides(spark, sf_dir, train, test):
+def _vector_sides(acts, vecs, train, test):
     """Steps with the mean of the vectors visited before them, and the items."""
-    visited = _visited_vectors(spark, sf_dir, test)
+    visited = _visited_vectors(acts, vecs, test)
     steps = sessions.next_item_pairs(visited).select(*STEP, "target", F.col("session_vec").alias("query"))
-    return steps, scoring.vector_items(_vocab(spark, sf_dir, train), views.domain_vectors(spark, sf_dir))
+    return steps, scoring.vector_items(_vocab(acts, train), vecs)
 
 
 @query
 def session_vector_scores(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
-    steps, items = _vector_sides(spark, sf_dir, train, test)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, items = _vector_sides(acts, views.domain_vectors(spark, sf_dir), train, test)
     return scoring.top_scores(steps, items, scoring.dot_scorer, 10).select(
         *STEP, "candidate", r6("score").alias("score"), "place")
 
 
 @query
 def random_scores(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
-    vocab = _vocab(spark, sf_dir, train)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    vocab = _vocab(acts, train)
     return models.random_scores(_steps(test).select(*STEP), vocab, 10, seed=7).select(
         *STEP, "candidate", r6("score").alias("score"), "place")
 
@@ -426,7 +441,8 @@ def random_scores(spark, sf_dir):
 
 @query
 def train_test_split(spark, sf_dir):
-    flat = stored(views.flat_sessions(spark, sf_dir), "flat")
+    acts = views.actions(spark, sf_dir)
+    flat = stored(views.flat_sessions(acts), "flat")
     train, test = recommend.split_by_start(flat, TEST_FROM)
     sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return sides.select("side", *STEP, "domain")
@@ -435,7 +451,8 @@ def train_test_split(spark, sf_dir):
 @query
 def train_test_tail(spark, sf_dir):
     """The last 100 sessions for test, 50 before them left out."""
-    flat = stored(views.flat_sessions(spark, sf_dir), "flat")
+    acts = views.actions(spark, sf_dir)
+    flat = stored(views.flat_sessions(acts), "flat")
     train, test = recommend.split_tail(flat, numbering.number_sessions(flat), 100, 50)
     sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return sides.select("side", "session_id", "pos", "domain")
@@ -443,22 +460,25 @@ def train_test_tail(spark, sf_dir):
 
 @query
 def test_known_domains(spark, sf_dir):
-    return views.split(spark, sf_dir)[1].select(*STEP, "domain")
+    acts = views.actions(spark, sf_dir)
+    return views.split(acts)[1].select(*STEP, "domain")
 
 
 @query
 def common_domains(spark, sf_dir):
-    flat = stored(views.flat_sessions(spark, sf_dir), "flat")
+    acts = views.actions(spark, sf_dir)
+    flat = stored(views.flat_sessions(acts), "flat")
     return keywords.common_domains(*recommend.split_by_start(flat, TEST_FROM))
 
 
 @query
 def eval_steps(spark, sf_dir):
-    return _steps(views.split(spark, sf_dir)[1]).select(*STEP, "prev", "target")
+    acts = views.actions(spark, sf_dir)
+    return _steps(views.split(acts)[1]).select(*STEP, "prev", "target")
 
 
-def _vocab(spark, sf_dir, train):
-    return stored(numbering.vocabulary(train, views.merchants(spark, sf_dir)), "vocab")
+def _vocab(acts, train):
+    return numbering.vocabulary(train, views.merchants(acts))
 
 
 def _rounded(metrics: DataFrame) -> DataFrame:
@@ -466,27 +486,30 @@ def _rounded(metrics: DataFrame) -> DataFrame:
 
 
 def _knn_ranks(spark, sf_dir, last_only=False):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     test = sessions.with_seen_before(test)
     steps = _steps(test)
     if last_only:
         steps = sessions.last_step_only(steps)
     lists = recommend.neighbour_lists(recommend.item_knn(train, SESSION))
-    return evaluate.target_rank(steps, lists, _vocab(spark, sf_dir, train), ["prev"])
+    return evaluate.target_rank(steps, lists, _vocab(acts, train), ["prev"])
 
 
 def _session_popular_ranks(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train)).withColumn(
         "score", F.round("score", 9))
-    return evaluate.target_rank(_steps(sessions.with_seen_before(test)), scores, _vocab(spark, sf_dir, train))
+    return evaluate.target_rank(_steps(sessions.with_seen_before(test)), scores, _vocab(acts, train))
 
 
 @query
 def eval_popular(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     ranks = evaluate.global_target_rank(
-        _steps(test), recommend.popularity(train).select("candidate", "score"), _vocab(spark, sf_dir, train))
+        _steps(test), recommend.popularity(train).select("candidate", "score"), _vocab(acts, train))
     return _rounded(evaluate.ranking_metrics(ranks))
 
 
@@ -540,8 +563,9 @@ def eval_batch_mean(spark, sf_dir):
 
 @query
 def eval_random(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
-    steps, items = models.random_sides(_steps(test), _vocab(spark, sf_dir, train), seed=7)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, items = models.random_sides(_steps(test), _vocab(acts, train), seed=7)
     own = (F.col("query") * F.col("item") % scoring.PRIME) / scoring.PRIME
     return _rounded(evaluate.ranking_metrics(
         scoring.dense_target_rank(steps, items, scoring.random_scorer, own)))
@@ -549,8 +573,9 @@ def eval_random(spark, sf_dir):
 
 @query
 def eval_session_vector(spark, sf_dir):
-    train, test = views.split(spark, sf_dir)
-    steps, items = _vector_sides(spark, sf_dir, train, test)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, items = _vector_sides(acts, views.domain_vectors(spark, sf_dir), train, test)
     own = dot(F.col("query"), F.col("item")) + F.col("bias")
     ranks = scoring.dense_target_rank(steps, items, scoring.dot_scorer, own)
     return _rounded(evaluate.ranking_metrics(steps.select(*STEP).join(ranks, STEP, "left")))
@@ -559,12 +584,13 @@ def eval_session_vector(spark, sf_dir):
 @query
 def eval_shuffled(spark, sf_dir):
     """Control: the same recommender on sessions in random order."""
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     shuffled = sessions.shuffle_sessions(test, seed=7)
     scores = recommend.session_popular_scores(shuffled, recommend.popularity(train)).withColumn(
         "score", F.round("score", 9))
     return _rounded(evaluate.ranking_metrics(
-        evaluate.target_rank(_steps(shuffled), scores, _vocab(spark, sf_dir, train)), strict=False, full_mrr=True))
+        evaluate.target_rank(_steps(shuffled), scores, _vocab(acts, train)), strict=False, full_mrr=True))
 
 
 @query
@@ -578,41 +604,48 @@ def loss_bpr_max(spark, sf_dir):
 
 
 def _loss(spark, sf_dir, loss):
-    train, test = views.split(spark, sf_dir)
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train))
-    return _rounded(loss(scores.withColumn("score", F.round("score", 9)), _steps(test), _vocab(spark, sf_dir, train)))
+    return _rounded(loss(scores.withColumn("score", F.round("score", 9)), _steps(test), _vocab(acts, train)))
 
 
 # -- models ------------------------------------------------------------------
 
 @query
 def word2vec_corpus(spark, sf_dir):
-    return models.word2vec_corpus(views.model_sessions(spark, sf_dir)).select(*SESSION, joined("tokens"))
+    acts = views.actions(spark, sf_dir)
+    return models.word2vec_corpus(views.model_sessions(acts)).select(*SESSION, joined("tokens"))
 
 
 @query
 def domain_vectors(spark, sf_dir):
-    found = models.domain_vectors(models.word2vec_corpus(views.model_sessions(spark, sf_dir)))
+    acts = views.actions(spark, sf_dir)
+    found = models.domain_vectors(models.word2vec_corpus(views.model_sessions(acts)))
     return found.select("domain", F.size("vec").alias("dims"))
 
 
 @query
 def item_factors_als(spark, sf_dir):
-    return models.item_factors(views.flat_sessions(spark, sf_dir)).select("domain", F.size("vec").alias("dims"))
+    acts = views.actions(spark, sf_dir)
+    return models.item_factors(views.flat_sessions(acts)).select("domain", F.size("vec").alias("dims"))
 
 
 @query
 def negative_samples(spark, sf_dir):
-    return models.negative_samples(views.flat_sessions(spark, sf_dir), seed=7)
+    acts = views.actions(spark, sf_dir)
+    return models.negative_samples(views.flat_sessions(acts), seed=7)
 
 
 @query
 def training_examples(spark, sf_dir):
-    runs = context.with_context_vector(context.as_steps(_runs_with_means(spark, sf_dir)))
-    vocab = numbering.vocabulary(views.model_sessions(spark, sf_dir), views.merchants(spark, sf_dir))
+    acts, vecs = views.actions(spark, sf_dir), views.domain_vectors(spark, sf_dir)
+    means = _runs_with_means(acts, views.keyword_vectors(spark, sf_dir))
+    runs = stored(context.as_steps(context.with_context_vector(means)).drop("keywords"), "context")
+    found = views.merchants(acts)
     rows = models.training_examples(
-        runs, views.domain_vectors(spark, sf_dir), _prior(spark, sf_dir).scalar(), vocab)
-    given, following = digest(F.col("input_vec")), digest(F.col("next_context"))
+        runs, vecs, vectors.merchant_prior(found, vecs).scalar(), numbering.vocabulary(runs, found))
+    given, following = digest("input_vec"), digest("next_context")
     return rows.select(
         *STEP, "target", "target_idx", "target_is_merchant", "seen_before",
         F.size("input_vec").alias("input_dims"),

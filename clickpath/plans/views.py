@@ -21,34 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as an impression (is_click 0) or a click (1)."""
-    ts, k = F.col("ts"), F.col("k")
-    # whole seconds from the calendar fields: the same in every session time zone
-    sec = (F.unix_date(ts.cast("date")) * F.lit(86_400).cast("bigint")
-           + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
-    domain = F.when(F.col("is_click") == 1, F.concat(F.lit("m"), k % 20)).otherwise(
-        F.concat(F.lit("p"), k % 50))
-    words = F.array(k.cast("string"),
-                    F.when(k % 10 == 0, 100_000 + k).otherwise(7 * k + 3).cast("string"))
+    """Every event as an impression (is_click 0) or a click (1).
+
+    ``sec`` comes from the calendar fields: the same in every session time zone.
+    """
     return (
         table(spark, sf_dir, "events")
-        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .withColumn("is_click", F.col("event_type").isin("click", "purchase").cast("int"))
-        .select(
-            F.col("user_id").alias("guid"), sec.alias("sec"), "event_id", "is_click",
-            domain.alias("domain"),
-            F.when(F.col("event_id") % 13 == 0, F.array().cast("array<string>")).otherwise(words).alias("keywords"),
-            F.year(ts).alias("year"), F.month(ts).alias("month"), F.dayofmonth(ts).alias("day"),
-        )
+        .selectExpr(
+            "*",
+            "cast(get_json_object(props, '$.k') AS int) AS k",
+            "cast(event_type IN ('click', 'purchase') AS int) AS is_click")
+        .selectExpr(
+            "user_id AS guid",
+            "unix_date(cast(ts AS date)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS sec",
+            "event_id", "is_click",
+            "if(is_click = 1, concat('m', k % 20), concat('p', k % 50)) AS domain",
+            """if(event_id % 13 = 0, cast(array() AS array<string>),
+               array(cast(k AS string), cast(if(k % 10 = 0, 100000 + k, 7 * k + 3) AS string))) AS keywords""",
+            "year(ts) AS year", "month(ts) AS month", "day(ts) AS day")
     )
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions(spark, sf_dir).where(F.col("is_click") == 0)
+def impressions(acts: DataFrame) -> DataFrame:
+    return acts.where("is_click = 0")
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions(spark, sf_dir).where(F.col("is_click") == 1)
+def clicks(acts: DataFrame) -> DataFrame:
+    return acts.where("is_click = 1")
 
 
 def daily_cookies(events: DataFrame) -> DataFrame:
@@ -58,8 +57,8 @@ def daily_cookies(events: DataFrame) -> DataFrame:
     return events.withColumn("guid", day).select(*EVENT)
 
 
-def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks(spark, sf_dir).select("domain").distinct()
+def merchants(acts: DataFrame) -> DataFrame:
+    return clicks(acts).select("domain").distinct()
 
 
 def keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,22 +90,22 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.filter_session_length(rows, ["session"], min_len=1)
 
 
-def model_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_sessions(acts: DataFrame) -> DataFrame:
     """Sessions of 3 to 20 events with at least two different domains."""
-    return sessions.multi_domain(sessions.bounded_sessions(actions(spark, sf_dir), GAP))
+    return sessions.multi_domain(sessions.bounded_sessions(acts, GAP))
 
 
-def flat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flat_sessions(acts: DataFrame) -> DataFrame:
     """Model sessions without consecutive repeats."""
-    return sessions.drop_repeats(model_sessions(spark, sf_dir)).select(
+    return sessions.drop_repeats(model_sessions(acts)).select(
         "guid", "session_no", "pos", "sec", "domain", "is_click")
 
 
-def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def split(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Train and test sessions; test rows have domains known in training.
 
     Stored first: recommenders and metrics read them several times.
     """
-    flat = stored(flat_sessions(spark, sf_dir), "flat")
+    flat = stored(flat_sessions(acts), "flat")
     train, test = recommend.split_by_start(flat, TEST_FROM)
     return train, recommend.restrict_to_known(test, train)
