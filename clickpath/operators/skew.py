@@ -25,24 +25,28 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) ->
 
 
 def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Shuffle df by (key, _block), heavy keys cut into equal slices of time.
+    """Shuffle df by (key, _block), heavy keys cut into blocks along time.
 
-    Light keys have the single block 0. For heavy keys ``_rows, _first, _last``
-    give the row count and the time range of the whole key, else null. Blocks
-    follow time, and there are at most 2 * SHARE of them over all heavy keys.
+    Light keys have the single block 0. Of a heavy key, the rows per second are
+    counted and running totals of these counts cut its time line into blocks
+    of about the limit, however unevenly the rows lie; a block ends between
+    two seconds. There are at most 2 * SHARE blocks of heavy keys. ``_rows,
+    _first, _last`` give a heavy key's row count and time range, else null.
     """
     stats = df.groupBy(key).agg(F.expr("count(1) AS _rows"), F.expr(f"min({at}) AS _first"),
                                 F.expr(f"max({at}) AS _last"))
     limit = heavy_limit(stats, "_rows", heavy_rows)
-    heavy = stats.where(F.col("_rows") > limit).withColumn(
-        "_slices", F.ceil(F.col("_rows") / limit))
-    slot = f"floor(({at} - _first) * _slices / (_last - _first + 1))"
-    return (
-        df.join(F.broadcast(heavy), key, "left")
-        .selectExpr(*df.columns, "_rows", "_first", "_last",
-                    f"cast(coalesce({slot}, 0) AS int) AS _block")
-        .repartition(key, "_block")
-    )
+    heavy = F.broadcast(stats.where(F.col("_rows") > limit))
+    light_rows = df.join(heavy, key, "left_anti").selectExpr(
+        *df.columns, "0L AS _block", "cast(NULL AS bigint) AS _rows",
+        "cast(NULL AS bigint) AS _first", "cast(NULL AS bigint) AS _last")
+    heavy_rows_only = df.join(heavy, key)
+    before = f"sum(_n) OVER (PARTITION BY {key} ORDER BY {at}) - _n AS _before"
+    cuts = (
+        heavy_rows_only.groupBy(key, at).agg(F.expr("count(1) AS _n")).selectExpr(key, at, before)
+        .select(key, at, F.floor(F.col("_before") / limit).alias("_block")))
+    cut_rows = heavy_rows_only.join(cuts, [key, at]).select(*light_rows.columns)
+    return light_rows.unionByName(cut_rows).repartition(key, "_block")
 
 
 BLOCK_COLUMNS = ["_block", "_rows", "_first", "_last"]

@@ -93,6 +93,17 @@ def test_heavy_session_over_many_blocks(events):
     assert {(r.guid, r.session_no, r.n_events) for r in found.collect()} == {(0, 0, 400), (1, 0, 5)}
 
 
+def test_bursts_of_a_heavy_user_are_cut_evenly(events):
+    rng = random.Random(9)
+    # nearly all rows of user 0 fall into one of many hours
+    rows = [(0, 500_000 + rng.randrange(3600), "p1") for _ in range(900)]
+    rows += [(0, rng.randrange(1_000_000), "m1") for _ in range(100)] + [(g, g * 10, "p2") for g in range(1, 50)]
+    df = events(rows)
+    sizes = [r["count"] for r in in_blocks(df, "guid", "sec", 50).groupBy("guid", "_block").count().collect()]
+    assert max(sizes) < 60 and sum(sizes) == len(rows)
+    check_against_plain(df, 1800, heavy_rows=50)
+
+
 def test_heavy_user_in_one_second(events):
     check_against_plain(events([(0, 7, "p1")] * 100 + [(1, 1, "p1"), (1, 2, "m1")]), 1800, heavy_rows=20)
 
