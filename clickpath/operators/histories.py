@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from clickpath.operators.skew import BLOCK_COLUMNS, HEAVY_ROWS, heavy_keys, in_blocks
+from clickpath.operators.skew import HEAVY_ROWS, in_blocks, without_heavy
 from clickpath.schema import DOMAIN, ORDER, TIME, USER
 
 
@@ -19,14 +19,14 @@ def users_with_both(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
 
 def order_history(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Adds ``pos``, the 0-based place of an event in its user's history."""
-    blocks = in_blocks(events, USER, TIME, heavy_rows)
-    within = Window.partitionBy(USER, "_block").orderBy(*ORDER)
-    before = _rows_before(blocks)
+    blocks, heavy = in_blocks(events, USER, TIME, heavy_rows)
+    in_block = f"row_number() OVER (PARTITION BY {USER}, _block ORDER BY {', '.join(ORDER)}) - 1L"
+    if not heavy:
+        return blocks.selectExpr(*events.columns, f"{in_block} AS pos")
     return (
-        blocks.withColumn("_n", F.row_number().over(within).cast("bigint"))
-        .join(F.broadcast(before), [USER, "_block"], "left")
-        .withColumn("pos", F.col("_n") - 1 + F.coalesce("_before", F.lit(0)))
-        .drop("_n", "_before", *BLOCK_COLUMNS)
+        blocks.selectExpr(*events.columns, "_block", f"{in_block} AS _place")
+        .join(F.broadcast(_rows_before(blocks)), [USER, "_block"], "left")
+        .selectExpr(*events.columns, "_place + coalesce(_before, 0) AS pos")
     )
 
 
@@ -70,10 +70,8 @@ def drop_users_with_rare_domains(events: DataFrame, min_count: int = 2,
     domain with a list of bounded size.
     """
     rare = domain_counts(events).where(F.col("n") <= min_count).select(DOMAIN)
-    heavy = heavy_keys(events, [DOMAIN], max(heavy_rows, min_count))
     touched = (
-        events.select(USER, DOMAIN)
-        .join(F.broadcast(heavy), DOMAIN, "left_anti")
+        without_heavy(events.select(USER, DOMAIN), [DOMAIN], max(heavy_rows, min_count))
         .join(rare, DOMAIN, "left_semi")
         .select(USER).distinct()
     )

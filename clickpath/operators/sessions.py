@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from clickpath.operators.skew import BLOCK_COLUMNS, HEAVY_ROWS, heavy_keys, in_blocks
+from clickpath.operators.skew import BLOCK_COLUMNS, HEAVY_ROWS, in_blocks, without_heavy
 from clickpath.schema import DOMAIN, ORDER, SESSION, TIME, USER
 
 
@@ -24,8 +24,8 @@ def with_dwell(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     A user's last event gets the mean of the user's other dwells; it is null
     for a user with one event.
     """
-    blocks = in_blocks(events, USER, TIME, heavy_rows)
-    edges = _block_edges(blocks, gap=0)
+    blocks, heavy = in_blocks(events, USER, TIME, heavy_rows)
+    edges = _block_edges(blocks, gap=0) if heavy else None
     return _dwell(blocks, edges).select(*events.columns, "dwell")
 
 
@@ -36,16 +36,19 @@ def sessionize(events: DataFrame, gap: int = 1800, heavy_rows: int = HEAVY_ROWS)
     shuffle by user serves all of it; the windows of the session numbers and
     lengths run on the same partitioning.
     """
-    blocks = in_blocks(events, USER, TIME, heavy_rows)
-    numbered = _dwell(blocks, _block_edges(blocks, gap)).selectExpr(
+    blocks, heavy = in_blocks(events, USER, TIME, heavy_rows)
+    numbered = _dwell(blocks, _block_edges(blocks, gap) if heavy else None).selectExpr(
         *events.columns, *BLOCK_COLUMNS, "dwell",
         f"""coalesce(sum(if(dwell > {gap}, 1L, 0L)) OVER ({IN_BLOCK} {EARLIER}), 0)
             + coalesce(_offset, 0) AS session_no""")
-    in_block = f"count(1) OVER (PARTITION BY {USER}, _block, session_no) AS _n"
+    kept = [*events.columns, "dwell", "session_no"]
+    in_block = f"count(1) OVER (PARTITION BY {USER}, _block, session_no)"
+    if not heavy:
+        return numbered.selectExpr(*kept, f"{in_block} AS n_events")
     return (
-        numbered.selectExpr(*events.columns, "dwell", "session_no", in_block)
+        numbered.selectExpr(*kept, f"{in_block} AS _n")
         .join(F.broadcast(_sessions_across_blocks(numbered)), SESSION, "left")
-        .selectExpr(*events.columns, "dwell", "session_no", "coalesce(_total, _n) AS n_events")
+        .selectExpr(*kept, "coalesce(_total, _n) AS n_events")
     )
 
 
@@ -64,13 +67,16 @@ def _block_edges(blocks: DataFrame, gap: int) -> DataFrame:
     )
 
 
-def _dwell(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+def _dwell(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
     """Adds ``dwell``. The gaps of a user add up to the whole time range, which
     gives their mean."""
     window = f"OVER ({WHOLE_BLOCK})"
+    if edges is None:
+        edged = blocks.selectExpr("*", "cast(NULL AS bigint) AS _next", "0L AS _offset")
+    else:
+        edged = blocks.join(F.broadcast(edges), [USER, "_block"], "left")
     return (
-        blocks.join(F.broadcast(edges), [USER, "_block"], "left")
-        .selectExpr(
+        edged.selectExpr(
             *blocks.columns, "_offset",
             f"coalesce(lead({TIME}) OVER ({IN_BLOCK}), _next) - {TIME} AS _step",
             f"coalesce(_last - _first, max({TIME}) {window} - min({TIME}) {window}) AS _range",
@@ -125,8 +131,7 @@ def filter_session_length(df: DataFrame, keys: list[str], min_len: int = 3, max_
     session key. Heavy groups are too long anyway and go before the shuffle."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     fitting = sizes.where(F.col("_n").between(min_len, max_len)).select(*keys)
-    too_long = heavy_keys(df, keys, max(heavy_rows, max_len))
-    return df.join(F.broadcast(too_long), keys, "left_anti").join(fitting, keys, "left_semi")
+    return without_heavy(df, keys, max(heavy_rows, max_len)).join(fitting, keys, "left_semi")
 
 
 def filter_min_distinct(sessions: DataFrame, least: int = 2) -> DataFrame:

@@ -13,19 +13,31 @@ SHARE = 10_000
 HEAVY_ROWS = 1_000_000
 
 
-def heavy_limit(counts: DataFrame, count: str, heavy_rows: int):
-    """Scalar: the row count above which a key is heavy."""
-    return counts.agg(F.expr(f"greatest({heavy_rows}, ceil(sum({count}) / {SHARE}))")).scalar()
+def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS,
+               measures: tuple[str, ...] = ()) -> DataFrame | None:
+    """The heavy keys with ``_rows`` (their row count), ``_limit`` (the count
+    above which a key is heavy) and further ``measures``; None if there are
+    none, so that callers can leave out the steps for heavy keys.
+
+    Looks at the data: one aggregation by key, of which at most SHARE rows
+    come to the driver.
+    """
+    stats = df.groupBy(*keys).agg(F.expr("count(1) AS _rows"), *[F.expr(m) for m in measures])
+    limit = stats.agg(F.expr(f"greatest({heavy_rows}, ceil(sum(_rows) / {SHARE}))")).scalar()
+    heavy = stats.withColumn("_limit", limit).where("_rows > _limit")
+    found = heavy.collect()
+    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
-def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more rows than the limit; at most SHARE of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > heavy_limit(counts, "_n", heavy_rows)).select(*keys)
+def without_heavy(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """df less the rows of its heavy keys."""
+    heavy = heavy_keys(df, keys, heavy_rows)
+    return df if heavy is None else df.join(F.broadcast(heavy), keys, "left_anti")
 
 
-def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Shuffle df by (key, _block), heavy keys cut into blocks along time.
+def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, bool]:
+    """Shuffle df by (key, _block), heavy keys cut into blocks along time; also
+    tells whether there are any.
 
     Light keys have the single block 0. Of a heavy key, the rows per second are
     counted and running totals of these counts cut its time line into blocks
@@ -33,20 +45,20 @@ def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) ->
     two seconds. There are at most 2 * SHARE blocks of heavy keys. ``_rows,
     _first, _last`` give a heavy key's row count and time range, else null.
     """
-    stats = df.groupBy(key).agg(F.expr("count(1) AS _rows"), F.expr(f"min({at}) AS _first"),
-                                F.expr(f"max({at}) AS _last"))
-    limit = heavy_limit(stats, "_rows", heavy_rows)
-    heavy = F.broadcast(stats.where(F.col("_rows") > limit))
-    light_rows = df.join(heavy, key, "left_anti").selectExpr(
-        *df.columns, "0L AS _block", "cast(NULL AS bigint) AS _rows",
-        "cast(NULL AS bigint) AS _first", "cast(NULL AS bigint) AS _last")
-    heavy_rows_only = df.join(heavy, key)
-    before = f"sum(_n) OVER (PARTITION BY {key} ORDER BY {at}) - _n AS _before"
+    found = heavy_keys(df, [key], heavy_rows, (f"min({at}) AS _first", f"max({at}) AS _last"))
+    if found is None:
+        return df.selectExpr(*df.columns, *_LIGHT).repartition(key), False
+    heavy = F.broadcast(found)
+    light_rows = df.join(heavy, key, "left_anti").selectExpr(*df.columns, *_LIGHT)
+    own_rows = df.join(heavy, key)
+    before = f"sum(_n) OVER (PARTITION BY {key} ORDER BY {at}) - _n"
     cuts = (
-        heavy_rows_only.groupBy(key, at).agg(F.expr("count(1) AS _n")).selectExpr(key, at, before)
-        .select(key, at, F.floor(F.col("_before") / limit).alias("_block")))
-    cut_rows = heavy_rows_only.join(cuts, [key, at]).select(*light_rows.columns)
-    return light_rows.unionByName(cut_rows).repartition(key, "_block")
+        own_rows.groupBy(key, at, "_limit").agg(F.expr("count(1) AS _n"))
+        .selectExpr(key, at, f"floor(({before}) / _limit) AS _block"))
+    cut_rows = own_rows.join(cuts, [key, at]).select(*light_rows.columns)
+    return light_rows.unionByName(cut_rows).repartition(key, "_block"), True
 
 
 BLOCK_COLUMNS = ["_block", "_rows", "_first", "_last"]
+_LIGHT = ["0L AS _block", "cast(NULL AS bigint) AS _rows", "cast(NULL AS bigint) AS _first",
+          "cast(NULL AS bigint) AS _last"]
