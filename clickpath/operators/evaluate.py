@@ -42,9 +42,23 @@ def target_rank(steps: DataFrame, scores: DataFrame, vocab: DataFrame, query: li
 
 
 def global_target_rank(steps: DataFrame, scores: DataFrame, vocab: DataFrame) -> DataFrame:
-    """target_rank for one score list that serves every step."""
-    return target_rank(steps.withColumn("_all", F.lit(1)), scores.withColumn("_all", F.lit(1)),
-                       vocab, ["_all"]).drop("_all")
+    """target_rank for one short score list that serves every step (a top_n).
+
+    The list rides along as an array, ranks are worked out once per target.
+    """
+    listed = scores.join(vocab.select(F.col(DOMAIN).alias("candidate"), F.col("idx").alias("c")), "candidate")
+    as_array = listed.select(F.struct("c", clean_score(F.col("score").cast("double")).alias("s")).alias("e")).agg(
+        F.collect_list("e")).scalar()
+    size = vocab.agg(F.count(F.lit(1))).scalar()
+    ranks = (
+        vocab.select(F.col(DOMAIN).alias("target"), F.col("idx").alias("t"), as_array.alias("l"), size.alias("v"))
+        .selectExpr("target", "t", "l", "v", "coalesce(get(filter(l, e -> e.c = t), 0).s, 0D) AS own")
+        .selectExpr("target", """
+            1L + size(filter(l, e -> e.s > own OR (e.s = own AND e.c < t)))
+            + CASE WHEN own > 0 THEN 0 WHEN own < 0 THEN v - size(l)
+                   ELSE t - size(filter(l, e -> e.c < t)) END AS rank""")
+    )
+    return steps.join(ranks, "target", "left")
 
 
 def ranking_metrics(ranks: DataFrame, k: int = 10, strict: bool = True, full_mrr: bool = False,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clickpath.runtime import stored
 
@@ -11,8 +11,8 @@ def dense_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     """Adds ``name``, the 0-based place of each row in the given order.
 
     Rows are range-partitioned and numbered inside their partition; the sizes
-    of the partitions (a handful of rows) give the offsets. The numbered rows
-    are stored, since range bounds come from a sample.
+    of the partitions, one row each, go to the driver and give the offsets. The
+    numbered rows are stored, since range bounds come from a sample.
     """
     placed = (
         df.repartitionByRange(*order)
@@ -20,12 +20,14 @@ def dense_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
         .withColumn("_id", F.monotonically_increasing_id())
     )
     placed = stored(placed, "numbered").withColumn("_part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, before = [], 0
+    for part, n in sorted(tuple(row) for row in sizes):
+        offsets.append((part, before))
+        before += n
+    table = df.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
     in_part = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    # one offset row per partition of df
-    return (placed.join(F.broadcast(offsets), "_part")
+    return (placed.join(F.broadcast(table), "_part")
             .withColumn(name, in_part + F.col("_before"))
             .drop("_part", "_id", "_before"))
 

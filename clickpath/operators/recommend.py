@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickpath.functions.columns import similarity_norm, support_score
+from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, SESSION, STEP
 
 
@@ -42,13 +43,22 @@ def session_popular_scores(sessions: DataFrame, popular: DataFrame) -> DataFrame
     )
 
 
+def session_visits(baskets: DataFrame, session: list[str]) -> DataFrame:
+    """(session, domain, n), stored: co-occurrence reads it on both sides of a
+    self-join, the domain supports are sums over it."""
+    return stored(support(baskets, [*session, DOMAIN]), "visits")
+
+
 def cooccurrence(baskets: DataFrame, session: list[str]) -> DataFrame:
     """(domain, other, n): every event of ``domain`` counts each different
     ``other`` of its session once, so n is not symmetric.
 
     Rows are reduced to one per session and domain before the self-join.
     """
-    visits = support(baskets, [*session, DOMAIN])
+    return _pair_counts(session_visits(baskets, session), session)
+
+
+def _pair_counts(visits: DataFrame, session: list[str]) -> DataFrame:
     others = visits.select(*session, F.col(DOMAIN).alias("other"))
     return (
         visits.join(others, session)
@@ -60,8 +70,9 @@ def cooccurrence(baskets: DataFrame, session: list[str]) -> DataFrame:
 def item_knn(baskets: DataFrame, session: list[str], n_sims: int = 100, lmbd: float = 20,
              alpha: float = 0.5) -> DataFrame:
     """(domain, other, sim): the n_sims most similar others of each domain."""
-    counts = cooccurrence(baskets, session)
-    size = support(baskets, [DOMAIN])
+    visits = session_visits(baskets, session)
+    counts = _pair_counts(visits, session)
+    size = visits.groupBy(DOMAIN).agg(F.sum("n").alias("n"))
     scored = (
         counts.join(size.withColumnRenamed("n", "n_domain"), DOMAIN)
         .join(size.select(F.col(DOMAIN).alias("other"), F.col("n").alias("n_other")), "other")
@@ -106,12 +117,18 @@ def restrict_to_known(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.join(train.select(DOMAIN).distinct(), DOMAIN, "left_semi")
 
 
+def with_start(sessions: DataFrame) -> DataFrame:
+    """Adds ``start_sec``, the time of a session's first event."""
+    return sessions.withColumn("start_sec", F.min("sec").over(Window.partitionBy(*SESSION)))
+
+
 def split_by_start(sessions: DataFrame, at: int | Column) -> tuple[DataFrame, DataFrame]:
-    """Train: sessions that start before ``at`` (seconds); test: the others."""
-    start = F.min("sec").over(Window.partitionBy(*SESSION))
-    dated = sessions.withColumn("_start", start)
-    return (dated.where(F.col("_start") < at).drop("_start"),
-            dated.where(F.col("_start") >= at).drop("_start"))
+    """Train: sessions that start before ``at`` (seconds); test: the others.
+
+    Plain filters, so a stored table's scan takes them over.
+    """
+    start = F.col("start_sec")
+    return sessions.where(start < at).drop("start_sec"), sessions.where(start >= at).drop("start_sec")
 
 
 def split_tail(sessions: DataFrame, numbered: DataFrame, n_test: int,

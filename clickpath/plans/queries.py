@@ -206,7 +206,7 @@ def drop_repeats(spark, sf_dir):
 @query
 def flat_sessions(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
-    flat = stored(views.flat_sessions(acts), "flat")
+    flat = views.stored_sessions(acts)
     numbered = numbering.number_sessions(flat)
     return flat.join(numbered, SESSION).select("session_id", "pos", "domain")
 
@@ -442,7 +442,7 @@ def random_scores(spark, sf_dir):
 @query
 def train_test_split(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
-    flat = stored(views.flat_sessions(acts), "flat")
+    flat = views.stored_sessions(acts)
     train, test = recommend.split_by_start(flat, TEST_FROM)
     sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return sides.select("side", *STEP, "domain")
@@ -452,7 +452,7 @@ def train_test_split(spark, sf_dir):
 def train_test_tail(spark, sf_dir):
     """The last 100 sessions for test, 50 before them left out."""
     acts = views.actions(spark, sf_dir)
-    flat = stored(views.flat_sessions(acts), "flat")
+    flat = views.stored_sessions(acts)
     train, test = recommend.split_tail(flat, numbering.number_sessions(flat), 100, 50)
     sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return sides.select("side", "session_id", "pos", "domain")
@@ -467,7 +467,7 @@ def test_known_domains(spark, sf_dir):
 @query
 def common_domains(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
-    flat = stored(views.flat_sessions(acts), "flat")
+    flat = views.stored_sessions(acts)
     return keywords.common_domains(*recommend.split_by_start(flat, TEST_FROM))
 
 

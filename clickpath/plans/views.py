@@ -101,11 +101,13 @@ def flat_sessions(acts: DataFrame) -> DataFrame:
         "guid", "session_no", "pos", "sec", "domain", "is_click")
 
 
-def split(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Train and test sessions; test rows have domains known in training.
+def stored_sessions(acts: DataFrame) -> DataFrame:
+    """Flat sessions with their start, written once: recommenders and metrics
+    read them several times."""
+    return stored(recommend.with_start(flat_sessions(acts)), "flat")
 
-    Stored first: recommenders and metrics read them several times.
-    """
-    flat = stored(flat_sessions(acts), "flat")
-    train, test = recommend.split_by_start(flat, TEST_FROM)
+
+def split(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and test sessions; test rows have domains known in training."""
+    train, test = recommend.split_by_start(stored_sessions(acts), TEST_FROM)
     return train, recommend.restrict_to_known(test, train)

@@ -67,7 +67,7 @@ def test_dense_index_and_vocabulary(spark):
 
 def test_splits(spark, visits):
     df = visits({i: "a b" for i in range(10)}).withColumn("sec", F.col("session_no") * 100 + F.col("pos"))
-    train, test = recommend.split_by_start(df, 700)
+    train, test = recommend.split_by_start(recommend.with_start(df), 700)
     assert {r.session_no for r in train.collect()} == set(range(7))
     assert {r.session_no for r in test.collect()} == {7, 8, 9}
     train, test = recommend.split_tail(df, numbering.number_sessions(df), n_test=2, n_gap=3)
