@@ -242,8 +242,11 @@ def _runs(acts, day_from="own"):
         views.model_sessions(acts), views.merchants(acts), day_from)
 
 
-def _runs_with_means(acts, words):
-    runs = stored(_runs(acts), "runs")
+def _stored_runs(spark, sf_dir):
+    return stored(_runs(views.actions(spark, sf_dir)), "runs")
+
+
+def _with_means(runs, words):
     means = vectors.domain_keyword_mean(keywords.domain_keywords(runs), words, DIM)
     return vectors.run_keyword_mean(runs, words, means, DIM)
 
@@ -289,7 +292,7 @@ def context_one_hot(spark, sf_dir):
 @query
 def context_vector(spark, sf_dir):
     plain, weighted = digest("context")
-    return context.with_context_vector(_runs_with_means(views.actions(spark, sf_dir), views.keyword_vectors(spark, sf_dir))).select(
+    return context.with_context_vector(_with_means(_stored_runs(spark, sf_dir), views.keyword_vectors(spark, sf_dir))).select(
         *RUN, F.size("context").alias("dims"), plain.alias("plain_sum"), weighted.alias("weighted_sum"))
 
 
@@ -318,7 +321,7 @@ def domain_keyword_mean(spark, sf_dir):
 @query
 def run_keyword_mean(spark, sf_dir):
     plain, weighted = digest("kw_vec")
-    return _runs_with_means(views.actions(spark, sf_dir), views.keyword_vectors(spark, sf_dir)).select(
+    return _with_means(_stored_runs(spark, sf_dir), views.keyword_vectors(spark, sf_dir)).select(
         *RUN, "domain", plain.alias("plain_sum"), weighted.alias("weighted_sum"))
 
 
@@ -640,11 +643,11 @@ def negative_samples(spark, sf_dir):
 @query
 def training_examples(spark, sf_dir):
     acts, vecs = views.actions(spark, sf_dir), views.domain_vectors(spark, sf_dir)
-    means = _runs_with_means(acts, views.keyword_vectors(spark, sf_dir))
-    runs = stored(context.as_steps(context.with_context_vector(means)).drop("keywords"), "context")
-    found = views.merchants(acts)
+    runs, found = _stored_runs(spark, sf_dir), views.merchants(acts)
+    steps = context.as_steps(context.with_context_vector(
+        _with_means(runs, views.keyword_vectors(spark, sf_dir))))
     rows = models.training_examples(
-        runs, vecs, vectors.merchant_prior(found, vecs).scalar(), numbering.vocabulary(runs, found))
+        steps, vecs, vectors.merchant_prior(found, vecs).scalar(), numbering.vocabulary(runs, found))
     given, following = digest("input_vec"), digest("next_context")
     return rows.select(
         *STEP, "target", "target_idx", "target_is_merchant", "seen_before",
