@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from clickpath.runtime import stored
+
 SHARE = 10_000
-HEAVY_ROWS = 1_000_000
+HEAVY_ROWS = 5_000_000
 
 
 def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS,
@@ -55,7 +57,8 @@ def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) ->
     cuts = (
         own_rows.groupBy(key, at, "_limit").agg(F.expr("count(1) AS _n"))
         .selectExpr(key, at, f"floor(({before}) / _limit) AS _block"))
-    cut_rows = own_rows.join(cuts, [key, at]).select(*light_rows.columns)
+    # stored: the lists carried from block to block read these rows again
+    cut_rows = stored(own_rows.join(cuts, [key, at]).select(*light_rows.columns), "blocks")
     return light_rows.unionByName(cut_rows).repartition(key, "_block"), True
 
 
