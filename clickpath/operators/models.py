@@ -38,7 +38,9 @@ def domain_vectors(corpus: DataFrame, size: int = 50, iterations: int = 50, wind
 
 def item_factors(train: DataFrame, factors: int = 100, iterations: int = 10, seed: int = 1) -> DataFrame:
     """(domain, vec): implicit-feedback factors of the domains by ALS."""
-    shared_folder(train.sparkSession)
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # ALS cuts its lineage there
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     domains = index_column(train, DOMAIN, "item")
     sessions = number_sessions(train, first=0, name="session")
     visits = (
