@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,9 @@ END = b" "  # no word holds a blank
 BASE = 2.0  # of the count levels
 HASHES, BITS_PER_ITEM = 6, 9  # about 1.4 % of absent items are taken for present
 SLOT = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
+PAIR_BYTES = 5  # of a bigram's hash that are kept beside its shard
+PAIR_MASK = np.uint64((1 << 8 * PAIR_BYTES) - 1)
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,8 @@ class Figures:
 def _block(doc_ids: list, held: list, texts: list[list[int]], words: dict[bytes, int]) -> dict:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     lengths = np.fromiter(map(len, texts), np.int32, len(texts))
-    flat = np.fromiter((t for text in texts for t in text), np.int32, int(lengths.sum()))
+    small = np.uint16 if len(words) <= 1 << 16 else np.int32
+    flat = np.fromiter((t for text in texts for t in text), small, int(lengths.sum()))
     return {"block": uuid.uuid4().hex, "doc_ids": doc_ids, "held_out": held, "lengths": lengths.tobytes(),
             "tokens": flat.tobytes(), "words": hashes.tobytes()}
 
@@ -89,7 +92,8 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, history of each token, document of each token, word hashes)."""
     lengths = np.frombuffer(row["lengths"], np.int32)
-    tokens = np.frombuffer(row["tokens"], np.int32)
+    small = np.uint16 if len(row["words"]) <= 8 << 16 else np.int32
+    tokens = np.frombuffer(row["tokens"], small).astype(np.int64)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     starts = np.cumsum(lengths) - lengths
@@ -99,47 +103,60 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shards(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    return ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def _pieces(hashes: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(shard, hashes, counts) with the entries of each shard packed."""
+def _packed(hashes: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each hash."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
+def _by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its entries) of the shards that have any."""
     shard = _shards(hashes, shards)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(ends[1:] > ends[:-1]):
-        own = order[ends[s]:ends[s + 1]]
-        yield int(s), hashes[own].tobytes(), counts[own].astype(np.int64).tobytes()
+    return [(int(k), order[ends[k]:ends[k + 1]]) for k in np.flatnonzero(ends[1:] > ends[:-1])]
 
 
 def _counted(blocks_: DataFrame, pairs: bool, shards: int) -> DataFrame:
-    """(shard, hashes, counts): word or bigram counts of the training side, summed over all blocks.
+    """(shard, n, total, hashes, counts): word or bigram counts of the training side over all blocks.
 
     A block sends each distinct entry once, packed; a shard's task adds them up.
     """
+    width = PAIR_BYTES if pairs else 8
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, before, doc, words = _read(row)
-                train = ~np.array(row["held_out"], bool)[doc]
-                if pairs:
-                    codes, counts = np.unique(before[train].astype(np.int64) * len(words) + tokens[train],
-                                              return_counts=True)
-                    hashes = chain64(words[codes // len(words)], words[codes % len(words)])
-                else:
-                    counts = np.bincount(tokens[train], minlength=len(words))
-                    hashes, counts = words[counts > 0], counts[counts > 0]
-                for shard, h, c in _pieces(hashes, counts, shards):
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "hashes": [h], "counts": [c]})
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            tokens, before, doc, words = _read(row)
+            train = ~np.array(row["held_out"], bool)[doc]
+            if pairs:
+                codes, counts = np.unique(before[train] * len(words) + tokens[train], return_counts=True)
+                hashes = chain64(words[codes // len(words)], words[codes % len(words)])
+            else:
+                counts = np.bincount(tokens[train], minlength=len(words))
+                hashes, counts = words[counts > 0], counts[counts > 0]
+            parts = _by_shard(hashes, shards)
+            yield pa.RecordBatch.from_pydict({
+                "shard": pa.array([k for k, _ in parts], pa.int64()),
+                "hashes": pa.array([_packed(hashes[own], width) for _, own in parts], pa.binary()),
+                "counts": pa.array([counts[own].astype(np.int32).tobytes() for _, own in parts], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.frombuffer(b"".join(frame["hashes"]), np.uint64)
-        counts = np.frombuffer(b"".join(frame["counts"]), np.int64)
-        distinct, place = np.unique(hashes, return_inverse=True)
-        total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "n": [len(distinct)], "total": [int(total.sum())],
-                             "hashes": [distinct.tobytes()], "counts": [total.tobytes()]})
+        hashes = _unpacked(b"".join(frame["hashes"]), width)
+        counts = np.frombuffer(b"".join(frame["counts"]), np.int32)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "n": [len(first)], "total": [int(total.sum())],
+                             "hashes": [hashes[first].tobytes()], "counts": [total.tobytes()]})
 
     sent = blocks_.mapInArrow(local, "shard long, hashes binary, counts binary")
     return sent.groupBy("shard").applyInPandas(
@@ -195,32 +212,31 @@ def probed(packed: bytes, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _looked_up(blocks_: DataFrame, table: DataFrame, pairs: bool, shards: int, value) -> DataFrame:
+def _looked_up(blocks_: DataFrame, table: DataFrame, pairs: bool, shards: int, value: Callable) -> DataFrame:
     """(block, answers): for each shard that a block asks, the values of its entries in its own order.
 
-    table: (shard, ...); ``value(frame row, hashes)`` gives them. The requests
-    of one shard pass its entries in batches; nothing is gathered by key.
+    table: (shard, ...), a row per shard. A task meets one shard and what all
+    blocks ask of it, which is about a shard's share of the distinct entries of
+    the blocks; shards are made as many as the data need.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                asked = _asked(row, pairs)
-                shard = _shards(asked, shards)
-                for s in np.unique(shard):
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "shard": [int(s)],
-                                                      "asked": [asked[shard == s].tobytes()]})
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                got = value(row, np.frombuffer(row["asked"], np.uint64))
-                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "shard": [row["shard"]],
-                                                  "got": [got.astype(np.int64).tobytes()]})
-
-    requests = (blocks_.mapInArrow(ask, "block string, shard long, asked binary"))
-    found = (requests.join(table, "shard", "left")
-             .mapInArrow(answer, "block string, shard long, got binary"))
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            asked = _asked(row, pairs)
+            parts = _by_shard(asked, shards)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([row["block"]] * len(parts), pa.string()),
+                "shard": pa.array([k for k, _ in parts], pa.int64()),
+                "asked": pa.array([asked[own].tobytes() for _, own in parts], pa.binary())})
+
+    def answer(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0].to_dict() if len(own) else None
+        got = [value(row, np.frombuffer(asked, np.uint64)).astype(np.int64).tobytes() for asked in requests["asked"]]
+        return pd.DataFrame({"block": requests["block"], "shard": requests["shard"], "got": got})
+
+    requests = blocks_.mapInArrow(ask, "block string, shard long, asked binary")
+    found = (requests.groupBy("shard").cogroup(table.groupBy("shard"))
+             .applyInPandas(answer, "block string, shard long, got binary"))
     return found.groupBy("block").agg(F.collect_list(F.struct("shard", "got")).alias("answers"))
 
 
@@ -228,7 +244,7 @@ def _asked(row: dict, pairs: bool) -> np.ndarray:
     tokens, before, _, words = _read(row)
     if not pairs:
         return words
-    codes = np.unique(before.astype(np.int64) * len(words) + tokens)
+    codes = np.unique(before * len(words) + tokens)
     return chain64(words[codes // len(words)], words[codes % len(words)])
 
 
@@ -240,23 +256,23 @@ def _merged(asked: np.ndarray, answers: list[dict], shards: int) -> np.ndarray:
     return out
 
 
-def _exact(row: dict, asked: np.ndarray) -> np.ndarray:
-    if row["hashes"] is None:
+def _exact(row: dict | None, asked: np.ndarray) -> np.ndarray:
+    if row is None:
         return np.zeros(len(asked), np.int64)
     hashes, counts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int64)
     at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
     return np.where(hashes[at] == asked, counts[at], 0)
 
 
-def _filter_level(row: dict, asked: np.ndarray) -> np.ndarray:
-    return np.zeros(len(asked), np.int64) if row["bits"] is None else probed(row["bits"], asked)
+def _filter_level(row: dict | None, asked: np.ndarray) -> np.ndarray:
+    return np.zeros(len(asked), np.int64) if row is None else probed(row["bits"], asked & PAIR_MASK)
 
 
 SCORE_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                 "score double")
 
 
-def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 4 << 20, block_tokens: int = BLOCK_TOKENS,
+def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 1 << 20, block_tokens: int = BLOCK_TOKENS,
            broadcast_bytes: int = 256 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs.
 
@@ -268,14 +284,14 @@ def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 4 << 20,
     bigram's count by the filter. The first token's history is the end. An
     empty table gives no rows; with nothing to train on both scores are 0.
 
-    Texts are tokenised once, into stored blocks of about a million tokens.
+    Texts are tokenised once, into stored blocks of about ``block_tokens`` tokens.
     Counts go to shards of about ``shard_tokens`` tokens, so neither blocks nor
     shards grow with the data. The filter is broadcast up to
     ``broadcast_bytes``; a larger one stays in its shards and the blocks' probes
     travel there instead, with the same levels and the same scores.
     """
     held = stored(blocks(docs, block_tokens), "blocks")
-    total = held.agg(F.sum(F.octet_length("tokens") / 4)).collect()[0][0] or 0
+    total = held.agg(F.sum(F.octet_length("tokens") / 2)).collect()[0][0] or 0
     shards = int(total // shard_tokens) + 1
     unigrams = stored(_counted(held, False, shards), "words")
     bigrams = _counted(held, True, shards)
@@ -314,7 +330,7 @@ def _scored(row: dict, figures: Figures, weight: float, filter_: dict[int, bytes
     tokens, before, doc, words = _read(row)
     counts = _merged(words, row["word_answers"], figures.shards)
     base = (counts + 1) / (figures.tokens + figures.words + 1)
-    codes, place = np.unique(before.astype(np.int64) * len(words) + tokens, return_inverse=True)
+    codes, place = np.unique(before * len(words) + tokens, return_inverse=True)
     history, word = codes // len(words), codes % len(words)
     hashes = chain64(words[history], words[word])
     if filter_ is None:
@@ -323,7 +339,7 @@ def _scored(row: dict, figures: Figures, weight: float, filter_: dict[int, bytes
         levels, shard = np.zeros(len(hashes), np.int64), _shards(hashes, figures.shards)
         for s, bits in filter_.items():
             own = np.flatnonzero(shard == s)
-            levels[own] = probed(bits, hashes[own])
+            levels[own] = probed(bits, hashes[own] & PAIR_MASK)
     # a bigram occurs no more often than either of its words
     pair = np.minimum(expected(levels), np.minimum(counts[history], counts[word]))
     chance = (pair + weight * base[word]) / (counts[history] + weight)
