@@ -2,6 +2,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from clickpath.plans.oracles import ORACLES
+from clickpath.plans.queries import REGISTRY
 from conftest import SF
 
 TABLES = "customer supplier part orders lineitem events embeddings".split()
@@ -20,7 +22,8 @@ def duck():
 
 
 def test_keys():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"domain_vectors", "item_factors_als"}
+    assert set(REGISTRY) - set(ORACLES) == {"domain_vectors", "item_factors_als"}
+    assert set(REGISTRY) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
@@ -28,7 +31,7 @@ def test_entry(spark):
     assert driver.entry(spark).count() == 585
 
 
-@pytest.mark.parametrize("key", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(ORACLES))
 def test_sql_runs(duck, key):
     assert duck.sql(driver.oracle_sql()[key]).fetchall()
 
