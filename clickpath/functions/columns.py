@@ -27,7 +27,7 @@ def mean_log2(dwell: Column) -> Column:
 
 def half_even(value: Column) -> Column:
     """Round to the nearest integer, halves to even; noise below 1e-9 is cut
-    first so that an exact half stays one."""
+    first so that an exact half stays one (2.4999999999 counts as 2.5)."""
     return F.rint(F.round(value, 9)).cast("int")
 
 
@@ -79,9 +79,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def seeded_number(seed: int, *parts: Column) -> Column:
-    """A repeatable number in [0, 2^32) from the seed and the row's values."""
+    """A repeatable number in [0, 2^60) from the seed and the row's values."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_residue(seed: int, *parts: Column) -> Column:

@@ -80,11 +80,20 @@ def ranking_metrics(ranks: DataFrame, k: int = 10, strict: bool = True, full_mrr
     )
 
 
+def metrics_by_kind(ranks: DataFrame, vocab: DataFrame, k: int = 10) -> DataFrame:
+    """Metrics per kind of the target, as the vocabulary flags it (``is_merchant``;
+    null for targets outside the vocabulary)."""
+    kinds = vocab.select(F.col(DOMAIN).alias("target"), "is_merchant")
+    return ranking_metrics(ranks.drop("is_merchant").join(kinds, "target", "left"), k,
+                           strict=False, full_mrr=True, by=["is_merchant"])
+
+
 def metrics_by_position(ranks: DataFrame, max_len: int = 19, k: int = 10) -> DataFrame:
-    """Recall per position of the prediction (0-based), 0 where none fell."""
+    """Recall per position of the prediction (0-based): every position that
+    occurs, and those below ``max_len`` where none fell with 0."""
     found = ranking_metrics(ranks.withColumn("position", F.col("pos") - 1), k, strict=False, by=["position"])
     places = ranks.sparkSession.range(max_len).select(F.col("id").cast("int").alias("position"))
-    return places.join(found, "position", "left").select(
+    return places.join(found, "position", "full").select(
         "position", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 

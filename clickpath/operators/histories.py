@@ -25,7 +25,7 @@ def order_history(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
         return blocks.selectExpr(*events.columns, f"{in_block} AS pos")
     return (
         blocks.selectExpr(*events.columns, "_block", f"{in_block} AS _place")
-        .join(F.broadcast(_rows_before(blocks)), [USER, "_block"], "left")
+        .join(_rows_before(blocks), [USER, "_block"], "left")
         .selectExpr(*events.columns, "_place + coalesce(_before, 0) AS pos")
     )
 

@@ -78,13 +78,14 @@ def negative_samples(rows: DataFrame, seed: int = 0, pool: str = "all") -> DataF
     drawn = numbered.select(
         *STEP, F.col(DOMAIN).alias("positive"),
         (seeded_number(seed, *[F.col(c) for c in STEP]) % size).alias("row_no"))
-    pool_rows = numbered.select("row_no", F.col(DOMAIN).alias("negative"))
+    pool_rows = numbered.where(F.col("row_no") < size).select("row_no", F.col(DOMAIN).alias("negative"))
     return drawn.join(pool_rows, "row_no").drop("row_no")
 
 
 def training_examples(runs: DataFrame, vectors: DataFrame, prior: Column, vocab: DataFrame) -> DataFrame:
     """One row per prediction: input vector (domain vector, then context), the
-    target with its index and flags, and the target's context.
+    target with its index and flags, and the target's context. The index of a
+    target outside the vocabulary is null.
 
     ``runs`` are steps with ``context``, ``pos`` and ``is_merchant``.
     """
@@ -104,4 +105,4 @@ def training_examples(runs: DataFrame, vectors: DataFrame, prior: Column, vocab:
         )
         .where(F.col("target").isNotNull())
     )
-    return steps.join(index, "target")
+    return steps.join(index, "target", "left")

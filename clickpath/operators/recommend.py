@@ -12,6 +12,8 @@ from clickpath.functions.columns import similarity_norm, support_score
 from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, SESSION, STEP
 
+SESSION_BLOCK = 1_000
+
 
 def support(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -28,7 +30,8 @@ def session_popular_scores(sessions: DataFrame, popular: DataFrame) -> DataFrame
     """Per step: visits of a domain earlier in the session plus its popularity.
 
     The popular list is the recommender's own top_n and the visited list is a
-    part of one bounded session, so both ride along as short arrays.
+    part of one bounded session, so both ride along as short arrays. Scores are
+    rounded to 9 digits: equal ones tie in whatever order they were summed.
     """
     earlier = (Window.partitionBy(*SESSION).orderBy("pos")
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -39,7 +42,7 @@ def session_popular_scores(sessions: DataFrame, popular: DataFrame) -> DataFrame
         sessions.withColumn("_visited", F.collect_list(DOMAIN).over(earlier))
         .where(F.size("_visited") > 0)
         .select(*STEP, F.inline(F.concat(visited, listed)))
-        .groupBy(*STEP, "candidate").agg(F.sum("score").alias("score"))
+        .groupBy(*STEP, "candidate").agg(F.round(F.sum("score"), 9).alias("score"))
     )
 
 
@@ -49,19 +52,29 @@ def session_visits(baskets: DataFrame, session: list[str]) -> DataFrame:
     return stored(support(baskets, [*session, DOMAIN]), "visits")
 
 
-def cooccurrence(baskets: DataFrame, session: list[str]) -> DataFrame:
+def cooccurrence(baskets: DataFrame, session: list[str], block: int = SESSION_BLOCK) -> DataFrame:
     """(domain, other, n): every event of ``domain`` counts each different
     ``other`` of its session once, so n is not symmetric.
 
-    Rows are reduced to one per session and domain before the self-join.
+    Rows are reduced to one per session and domain before the self-join. A
+    session of more than ``block`` domains is cut into blocks of about that
+    many, and each pair of blocks is joined apart: no task holds a whole long
+    session, no pair is lost.
     """
-    return _pair_counts(session_visits(baskets, session), session)
-
-
-def _pair_counts(visits: DataFrame, session: list[str]) -> DataFrame:
-    others = visits.select(*session, F.col(DOMAIN).alias("other"))
+    return _pair_counts(session_visits(baskets, session), session, block)
+
+
+def _pair_counts(visits: DataFrame, session: list[str], block: int = SESSION_BLOCK) -> DataFrame:
+    long = (visits.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+            .where(F.col("_blocks") > 1))
+    cut = (visits.join(long, session, "left")
+           .withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("bigint")))
+           .withColumn("_own", F.pmod(F.xxhash64(DOMAIN), "_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    own = cut.select(*session, DOMAIN, "n", F.col("_own").alias("_a"), every.alias("_b"))
+    others = cut.select(*session, F.col(DOMAIN).alias("other"), every.alias("_a"), F.col("_own").alias("_b"))
     return (
-        visits.join(others, session)
+        own.join(others, [*session, "_a", "_b"])
         .where(F.col(DOMAIN) != F.col("other"))
         .groupBy(DOMAIN, "other").agg(F.sum("n").alias("n"))
     )
@@ -131,6 +144,11 @@ def split_by_start(sessions: DataFrame, at: int | Column) -> tuple[DataFrame, Da
     return sessions.where(start < at).drop("start_sec"), sessions.where(start >= at).drop("start_sec")
 
 
+def with_side(sessions: DataFrame, at: int | Column) -> DataFrame:
+    """Adds ``side``, 'train' or 'test', by the same rule as split_by_start."""
+    return sessions.withColumn("side", F.when(F.col("start_sec") < at, "train").otherwise("test"))
+
+
 def split_tail(sessions: DataFrame, numbered: DataFrame, n_test: int,
                n_gap: int = 0) -> tuple[DataFrame, DataFrame]:
     """Test: the last n_test sessions by number; train: all but the last

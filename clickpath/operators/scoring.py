@@ -3,48 +3,81 @@
 The score matrix (steps x domains) is never written out. Steps are cut into
 shards and domains into blocks; each (shard, block) pair is one task-sized
 matrix product, of which only the k best or the count above the target leave
-the task. No side is broadcast.
+the task. No side is broadcast. The number of shards follows from the number
+of steps, so a task stays as large at any data size.
+
+A matrix product may differ in the last bits from one block shape to another.
+Scores that it finds close to each other are therefore worked out again by a
+sum in fixed order, so that equal vectors tie whatever the tiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickpath.functions.columns import PRIME
+from clickpath.functions.columns import PRIME, dot
 from clickpath.operators.recommend import recommend
 from clickpath.schema import STEP
 
-BLOCK = 4_096
-ROWS_AT_ONCE = 2_048
+BLOCK = 65_536
+SHARD_ROWS = 50_000
+CELLS_AT_ONCE = 1 << 22
 
-Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
-
-def dot_scorer(steps: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+class DotScorer:
     """Session vector times item vector, plus the item's bias."""
-    matrix = np.stack(items["item"].to_numpy())
-    return np.stack(steps["query"].to_numpy()) @ matrix.T + items["bias"].to_numpy()
 
+    def sides(self, steps: pd.DataFrame, items: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.stack(steps["query"].to_numpy()), np.stack(items["item"].to_numpy()), items["bias"].to_numpy()
+
+    def product(self, queries: np.ndarray, items: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All scores, and by how much those of each step may be off."""
+        scale = np.linalg.norm(queries, axis=1) * np.linalg.norm(items, axis=1).max() + np.abs(bias).max()
+        return queries @ items.T + bias, 1e-12 * (1 + scale)
 
-def random_scorer(steps: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+    def exact(self, queries: np.ndarray, items: np.ndarray, bias: np.ndarray, q: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Scores of the pairs (q, i), summed in the order of ``own``."""
+        total = np.zeros(len(q))
+        for d in range(queries.shape[1]):
+            total += queries[q, d] * items[i, d]
+        return total + bias[i]
+
+    def own(self) -> Column:
+        return dot(F.col("query"), F.col("item")) + F.col("bias")
+
+
+class RandomScorer:
     """Uniform in (0, 1), fixed by the step's and the item's seeded residues."""
-    products = steps["query"].to_numpy()[:, None] * items["item"].to_numpy()[None, :]
-    return (products % PRIME) / PRIME
+
+    def sides(self, steps: pd.DataFrame, items: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return steps["query"].to_numpy(), items["item"].to_numpy(), items["bias"].to_numpy()
+
+    def product(self, queries: np.ndarray, items: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return queries[:, None] * items[None, :] % PRIME / PRIME, np.zeros(len(queries))
+
+    def exact(self, queries: np.ndarray, items: np.ndarray, bias: np.ndarray, q: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return queries[q] * items[i] % PRIME / PRIME
+
+    def own(self) -> Column:
+        return F.col("query") * F.col("item") % PRIME / PRIME
+
+
+dot_scorer, random_scorer = DotScorer(), RandomScorer()
+Scorer = DotScorer | RandomScorer
 
 
 def _tiles(steps: DataFrame, items: DataFrame, shards: int | None, block: int):
     """Both sides keyed by (_shard, _block)."""
-    spark = steps.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = items.agg(F.floor(F.max("idx") / block)).scalar()
-    left = (steps.withColumn("_shard", F.pmod(F.xxhash64(*STEP), F.lit(shards)).cast("int"))
+    count = F.lit(shards) if shards else steps.agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_ROWS))).scalar()
+    count = count.cast("bigint")
+    left = (steps.withColumn("_shard", F.pmod(F.xxhash64(*STEP), count))
             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))))
     right = (items.withColumn("_block", F.floor(F.col("idx") / block))
-             .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+             .withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))))
     return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block"))
 
 
@@ -52,24 +85,35 @@ def _key_schema(steps: DataFrame) -> str:
     return ", ".join(f"`{c}` {steps.schema[c].dataType.simpleString()}" for c in STEP)
 
 
+def _slices(left: pd.DataFrame, right: pd.DataFrame):
+    """Parts of the steps whose scores fit in memory; none if there are no items."""
+    if len(right):
+        rows = max(1, CELLS_AT_ONCE // len(right))
+        for at in range(0, len(left), rows):
+            yield left.iloc[at:at + rows]
+
+
 def top_scores(steps: DataFrame, items: DataFrame, scorer: Scorer, k: int,
                shards: int | None = None, block: int = BLOCK) -> DataFrame:
-    """The k best domains of every step: STEP, candidate, score, place.
+    """The k best domains of every step, ties by name: STEP, candidate, score, place.
 
-    steps: STEP and ``query``; items: ``idx, domain, item`` (and ``bias``).
+    steps: STEP and ``query``; items: ``idx, domain, item, bias``.
     """
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("domain")
         names = right["domain"].to_numpy()
         found = []
-        for at in range(0, len(left) if len(right) else 0, ROWS_AT_ONCE):
-            rows = left.iloc[at:at + ROWS_AT_ONCE]
-            scores = scorer(rows, right)
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            part = rows[STEP].loc[rows.index.repeat(order.shape[1])]
-            found.append(part.assign(candidate=names[order].ravel(),
-                                     score=np.take_along_axis(scores, order, axis=1).ravel()))
+        for rows in _slices(left, right):
+            sides = scorer.sides(rows, right)
+            scores, off = scorer.product(*sides)
+            kth = np.partition(scores, len(names) - min(k, len(names)), axis=1)[:, len(names) - min(k, len(names))]
+            q, i = np.nonzero(scores >= (kth - 2 * off)[:, None])
+            exact = scorer.exact(*sides, q, i)
+            order = np.lexsort((i, -exact, q))
+            q, i, exact = q[order], i[order], exact[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append(rows[STEP].iloc[q[kept]].assign(candidate=names[i[kept]], score=exact[kept]))
         return pd.concat(found) if found else pd.DataFrame(columns=[*STEP, "candidate", "score"])
 
     schema = f"{_key_schema(steps)}, candidate string, score double"
@@ -77,32 +121,36 @@ def top_scores(steps: DataFrame, items: DataFrame, scorer: Scorer, k: int,
     return recommend(tiles.applyInPandas(best, schema), k)
 
 
-def dense_target_rank(steps: DataFrame, items: DataFrame, scorer: Scorer, own_score: Column,
+def dense_target_rank(steps: DataFrame, items: DataFrame, scorer: Scorer,
                       shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """STEP and ``rank`` of the target among all domains, ties to the lower
-    idx. Steps with an unknown target have no row.
+    idx; null if the target is not among the items.
 
-    steps: STEP, ``query`` and ``target``. ``own_score`` gives the score of a
-    step's own item from the columns ``query``, ``item`` and ``bias``.
+    steps: STEP, ``query`` and ``target``; items: ``idx, domain, item, bias``.
     """
     own = items.select(F.col("domain").alias("target"), F.col("idx").alias("own_idx"), "item", "bias")
     known = (steps.select(*STEP, "query", "target").join(own, "target")
-             .select(*STEP, "query", "own_idx", own_score.alias("own_score")))
+             .select(*STEP, "query", "own_idx", scorer.own().alias("own_score")))
 
     def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        idx = right["idx"].to_numpy()[None, :]
+        idx = right["idx"].to_numpy()
         counts = []
-        for at in range(0, len(left) if len(right) else 0, ROWS_AT_ONCE):
-            rows = left.iloc[at:at + ROWS_AT_ONCE]
-            scores = scorer(rows, right)
-            bar, own_idx = (rows[c].to_numpy()[:, None] for c in ("own_score", "own_idx"))
-            better = (scores > bar) | ((scores == bar) & (idx < own_idx))
-            counts.append(rows[STEP].assign(n=(better & (idx != own_idx)).sum(axis=1)))
+        for rows in _slices(left, right):
+            sides = scorer.sides(rows, right)
+            scores, off = scorer.product(*sides)
+            bar, own_idx = (rows[c].to_numpy() for c in ("own_score", "own_idx"))
+            n = (scores > (bar + off)[:, None]).sum(axis=1)
+            q, i = np.nonzero(np.abs(scores - bar[:, None]) <= off[:, None])
+            exact = scorer.exact(*sides, q, i)
+            before = (exact > bar[q]) | ((exact == bar[q]) & (idx[i] < own_idx[q]))
+            n += np.bincount(q[before & (idx[i] != own_idx[q])], minlength=len(rows))
+            counts.append(rows[STEP].assign(n=n))
         return pd.concat(counts) if counts else pd.DataFrame(columns=[*STEP, "n"])
 
     tiles = _tiles(known, items, shards, block)
-    return (tiles.applyInPandas(above, f"{_key_schema(steps)}, n bigint")
-            .groupBy(*STEP).agg((F.sum("n") + 1).alias("rank")))
+    ranks = (tiles.applyInPandas(above, f"{_key_schema(steps)}, n bigint")
+             .groupBy(*STEP).agg((F.sum("n") + 1).alias("rank")))
+    return steps.select(*STEP).join(ranks, STEP, "left")
 
 
 def vector_items(vocab: DataFrame, vectors: DataFrame, bias: Column | None = None) -> DataFrame:

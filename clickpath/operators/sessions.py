@@ -34,7 +34,8 @@ def sessionize(events: DataFrame, gap: int = 1800, heavy_rows: int = HEAVY_ROWS)
 
     A dwell above ``gap`` seconds ends the session after that event. One
     shuffle by user serves all of it; the windows of the session numbers and
-    lengths run on the same partitioning.
+    lengths run on the same partitioning. Users above ``heavy_rows`` events are
+    cut into blocks; one user's events of the same second stay in one block.
     """
     blocks, heavy = in_blocks(events, USER, TIME, heavy_rows)
     numbered = _dwell(blocks, _block_edges(blocks, gap) if heavy else None).selectExpr(
@@ -47,14 +48,14 @@ def sessionize(events: DataFrame, gap: int = 1800, heavy_rows: int = HEAVY_ROWS)
         return numbered.selectExpr(*kept, f"{in_block} AS n_events")
     return (
         numbered.selectExpr(*kept, f"{in_block} AS _n")
-        .join(F.broadcast(_sessions_across_blocks(numbered)), SESSION, "left")
+        .join(_sessions_across_blocks(numbered), SESSION, "left")
         .selectExpr(*kept, "coalesce(_total, _n) AS n_events")
     )
 
 
 def _block_edges(blocks: DataFrame, gap: int) -> DataFrame:
     """Per block of a heavy user: when the next block starts, and how many
-    session breaks lie before the block. At most 2 * SHARE rows."""
+    session breaks lie before the block."""
     steps = blocks.where("_rows IS NOT NULL").selectExpr(
         USER, "_block", TIME, f"lead({TIME}) OVER ({IN_BLOCK}) - {TIME} > {gap} AS _break")
     return (
@@ -74,7 +75,7 @@ def _dwell(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
     if edges is None:
         edged = blocks.selectExpr("*", "cast(NULL AS bigint) AS _next", "0L AS _offset")
     else:
-        edged = blocks.join(F.broadcast(edges), [USER, "_block"], "left")
+        edged = blocks.join(edges, [USER, "_block"], "left")
     return (
         edged.selectExpr(
             *blocks.columns, "_offset",
@@ -88,7 +89,7 @@ def _dwell(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 def _sessions_across_blocks(numbered: DataFrame) -> DataFrame:
     """Lengths of heavy users' sessions that cross a block edge: at most one
-    per edge, so at most 2 * SHARE rows."""
+    per edge."""
     return (
         numbered.where("_rows IS NOT NULL").groupBy(*SESSION)
         .agg(F.expr("count(1) AS _total"), F.expr("min(_block) AS _from"), F.expr("max(_block) AS _to"))

@@ -1,8 +1,9 @@
 """Splitting heavy keys.
 
 A window over one key runs in one task, so a key that holds a large part of
-all rows has to be cut into pieces first. The keys above 1/SHARE of all rows
-number at most SHARE, whatever the data, so lists of them may be broadcast.
+all rows has to be cut into pieces first. Pieces have about the same number of
+rows at any data size. The list of heavy keys is a stored table: at most one
+row per HEAVY_ROWS rows, joined as its size asks for.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickpath.runtime import stored
 
-SHARE = 10_000
 HEAVY_ROWS = 5_000_000
 
 
@@ -21,20 +21,18 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS,
     above which a key is heavy) and further ``measures``; None if there are
     none, so that callers can leave out the steps for heavy keys.
 
-    Looks at the data: one aggregation by key, of which at most SHARE rows
-    come to the driver.
+    Looks at the data: one aggregation by key, whose heavy rows are stored.
     """
     stats = df.groupBy(*keys).agg(F.expr("count(1) AS _rows"), *[F.expr(m) for m in measures])
-    limit = stats.agg(F.expr(f"greatest({heavy_rows}, ceil(sum(_rows) / {SHARE}))")).scalar()
-    heavy = stats.withColumn("_limit", limit).where("_rows > _limit")
-    found = heavy.collect()
-    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
+    heavy = stored(stats.where(F.col("_rows") > heavy_rows)
+                   .withColumn("_limit", F.lit(heavy_rows).cast("bigint")), "heavy")
+    return None if heavy.isEmpty() else heavy
 
 
 def without_heavy(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """df less the rows of its heavy keys."""
     heavy = heavy_keys(df, keys, heavy_rows)
-    return df if heavy is None else df.join(F.broadcast(heavy), keys, "left_anti")
+    return df if heavy is None else df.join(heavy, keys, "left_anti")
 
 
 def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, bool]:
@@ -44,13 +42,12 @@ def in_blocks(df: DataFrame, key: str, at: str, heavy_rows: int = HEAVY_ROWS) ->
     Light keys have the single block 0. Of a heavy key, the rows per second are
     counted and running totals of these counts cut its time line into blocks
     of about the limit, however unevenly the rows lie; a block ends between
-    two seconds. There are at most 2 * SHARE blocks of heavy keys. ``_rows,
+    two seconds, so one key's rows of the same second stay together. ``_rows,
     _first, _last`` give a heavy key's row count and time range, else null.
     """
-    found = heavy_keys(df, [key], heavy_rows, (f"min({at}) AS _first", f"max({at}) AS _last"))
-    if found is None:
+    heavy = heavy_keys(df, [key], heavy_rows, (f"min({at}) AS _first", f"max({at}) AS _last"))
+    if heavy is None:
         return df.selectExpr(*df.columns, *_LIGHT).repartition(key), False
-    heavy = F.broadcast(found)
     light_rows = df.join(heavy, key, "left_anti").selectExpr(*df.columns, *_LIGHT)
     own_rows = df.join(heavy, key)
     before = f"sum(_n) OVER (PARTITION BY {key} ORDER BY {at}) - _n"

@@ -109,7 +109,7 @@ VECTORS = """
 dv AS (
   SELECT CASE WHEN vec_id < 20 THEN 'm' || vec_id ELSE 'p' || (vec_id - 20) END AS domain,
          unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim
-  FROM embeddings WHERE vec_id < 70 AND label <> 0),
+  FROM embeddings WHERE (CASE WHEN vec_id < 20 THEN vec_id ELSE vec_id - 20 END) % 7 <> 0),
 prior AS (SELECT dim, avg(v) AS v FROM dv WHERE domain IN (SELECT domain FROM merchants) GROUP BY dim)
 """
 
@@ -201,9 +201,7 @@ counted AS (SELECT domain, count(*) AS n FROM purchases GROUP BY domain)
 
 BASKETS = """
 baskets AS (
-  SELECT session, domain FROM (
-    SELECT l_orderkey AS session, l_suppkey AS domain, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem)
-  WHERE size <= 20)
+  SELECT l_orderkey AS session, l_suppkey AS domain FROM lineitem)
 """
 
 # parts every session query shares
@@ -225,9 +223,9 @@ mixed AS (
 RANDOM = """
 draws AS (
   SELECT guid, session_no, pos, target,
-         ('0x' || substr(md5(concat_ws('|', '7', guid, session_no, pos)), 1, 8))::BIGINT % 2147483646 + 1 AS a FROM steps),
+         ('0x' || substr(md5(concat_ws('|', '7', guid, session_no, pos)), 1, 15))::BIGINT % 2147483646 + 1 AS a FROM steps),
 lots AS (
-  SELECT domain, idx, ('0x' || substr(md5(concat_ws('|', '7', domain)), 1, 8))::BIGINT % 2147483646 + 1 AS b FROM vocab),
+  SELECT domain, idx, ('0x' || substr(md5(concat_ws('|', '7', domain)), 1, 15))::BIGINT % 2147483646 + 1 AS b FROM vocab),
 dense AS (
   SELECT guid, session_no, pos, target, domain AS candidate, idx, (a * b % 2147483647) / 2147483647.0 AS score
   FROM draws CROSS JOIN lots)
@@ -263,7 +261,7 @@ KEY = "guid, session_no, pos"
 SCAN = "guid, sec, event_id, domain, array_to_string(keywords, ' ') AS keywords, year, month, day"
 DIGEST = "round(sum(v), 6) AS plain_sum, round(sum(v * (dim + 1)), 6) AS weighted_sum"
 HISTORIES = f"""
-cookies AS (SELECT * REPLACE (concat_ws('-', guid, month, day) AS guid) FROM actions),
+cookies AS (SELECT * REPLACE (concat_ws('-', guid, year, month, day) AS guid) FROM actions),
 both_sides AS (SELECT guid FROM cookies GROUP BY guid HAVING min(is_click) = 0 AND max(is_click) = 1),
 histories AS (
   SELECT *, row_number() OVER (PARTITION BY guid ORDER BY {ORDER}) - 1 AS pos
@@ -278,6 +276,7 @@ ORACLES: dict[str, str] = {
     "scan_impressions": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE is_click = 0"),
     "scan_clicks": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE is_click = 1"),
     "scan_week": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE month = 1 AND day BETWEEN 8 AND 14"),
+    "scan_partitioned_week": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE month = 1 AND day BETWEEN 8 AND 14"),
     "keyword_counts": sql([ACTIONS], """
 SELECT word, count(*) AS n FROM (SELECT unnest(keywords) AS word FROM actions) GROUP BY word"""),
     "keyword_full_join": sql([ACTIONS], """
@@ -299,6 +298,10 @@ FROM (SELECT DISTINCT domain, (CASE WHEN domain IN (SELECT domain FROM merchants
     "user_histories_nested": sql([ACTIONS, HISTORIES], """
 SELECT guid, pos // 10000 AS part, count(*)::INTEGER AS n_events, arg_min(domain, pos) AS first_domain,
        arg_max(domain, pos) AS last_domain FROM histories GROUP BY guid, part"""),
+    "histories_roundtrip": sql([ACTIONS, HISTORIES.replace(
+        "SELECT * REPLACE (concat_ws('-', guid, year, month, day) AS guid) FROM actions", "SELECT * FROM actions")], """
+SELECT guid, pos // 10 AS part, pos, sec, event_id, domain, array_to_string(keywords, ' ') AS keywords, day
+FROM histories"""),
     "domain_counts": sql([PURCHASES], "SELECT domain, n FROM counted"),
     "frequent_domains": sql([PURCHASES], "SELECT domain, n FROM counted WHERE n > 18"),
     "users_without_rare_domains": sql([PURCHASES], """
@@ -306,6 +309,12 @@ SELECT guid, count(*) AS n FROM purchases
 WHERE guid NOT IN (SELECT guid FROM purchases JOIN counted USING (domain) WHERE n <= 18) GROUP BY guid"""),
     "dwell_time": sql([ACTIONS, DWELL], "SELECT guid, event_id, sec, round(dwell, 6) AS dwell FROM dwelt"),
     "sessionize": sql(CUT, "SELECT guid, event_id, session_no, n_events FROM cut"),
+    "sessionize_split": sql(CUT, "SELECT guid, event_id, session_no, n_events FROM cut"),
+    "pipeline_sessions": sql([ACTIONS, HISTORIES, """
+rare AS (SELECT domain FROM histories GROUP BY domain HAVING count(*) <= 8),
+kept AS (SELECT * EXCLUDE (pos) FROM histories WHERE guid NOT IN (SELECT guid FROM histories JOIN rare USING (domain)))
+""", DWELL.replace("FROM actions", "FROM kept"), cut(21600)], f"""
+SELECT {KEY}, event_id, n_events, round(dwell, 6) AS dwell FROM bounded"""),
     "session_summary": sql(CUT, f"""
 SELECT guid, session_no, count(*) AS n_events, min(sec) AS start_sec, max(sec) AS end_sec,
        first(domain ORDER BY {ORDER}) AS first_domain, last(domain ORDER BY {ORDER}) AS last_domain,
@@ -367,6 +376,8 @@ SELECT guid, session_no, run_no, domain, {DIGEST} FROM rmean GROUP BY guid, sess
 SELECT a.domain, p.dim, round(coalesce(d.v, p.v), 6) AS value
 FROM (SELECT DISTINCT domain FROM actions) a CROSS JOIN prior p
 LEFT JOIN dv d ON d.domain = a.domain AND d.dim = p.dim"""),
+    "dictionary_roundtrip": sql([ACTIONS, WORDS, VECTORS], """
+SELECT domain, dim, round(v, 6) AS value FROM dv UNION ALL SELECT '0', dim, 0 FROM dims"""),
     "session_vector": sql([*FLAT, VECTORS, MEAN_VECTORS.format(rows="flat")], f"""
 SELECT {KEY}, domain, {DIGEST} FROM visited GROUP BY {KEY}, domain"""),
     "popular_topn": sql([BASKETS], """
@@ -410,7 +421,7 @@ WHERE side IS NOT NULL"""),
     "eval_ranks": sql([*BY_KNN, RANKED], f"SELECT {KEY}, prev, target, rank FROM ranks"),
     "eval_topk_mode": sql([*BY_KNN, RANKED], metrics(hit="rank <= 10", full=True)),
     "eval_by_target_kind": sql([*BY_SESSION, RANKED], metrics(
-        "(SELECT *, is_click AS is_merchant FROM ranks)", "rank <= 10", True, "is_merchant")),
+        "(SELECT ranks.*, is_merchant FROM ranks JOIN vocab ON vocab.domain = target)", "rank <= 10", True, "is_merchant")),
     "eval_by_history": sql([*BY_SESSION, RANKED], metrics("ranks", "rank <= 10", True, "seen_before")),
     "eval_by_position": sql([*BY_SESSION, RANKED], """
 SELECT position, count(rank) AS n, round(coalesce(avg(CASE WHEN rank <= 10 THEN 1.0 WHEN rank IS NOT NULL THEN 0.0 END), 0), 6)
@@ -431,6 +442,20 @@ FROM (SELECT batch_no, count(*) FILTER (rank <= 10) / count(*) AS recall, sum((1
   LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY score DESC, idx) AS rank FROM dense) p
     ON p.guid = t.guid AND p.session_no = t.session_no AND p.pos = t.pos AND p.candidate = t.target
   WHERE t.target IS NOT NULL)""")),
+    "vector_ranks_with_ties": sql([*TESTED, VECTORS, MEAN_VECTORS.format(rows="test"), """
+filled AS (
+  SELECT v.domain, v.idx, v.is_merchant, p.dim, coalesce(d.v, p.v) AS v
+  FROM vocab v CROSS JOIN prior p LEFT JOIN dv d ON d.domain = v.domain AND d.dim = p.dim),
+asked AS (
+  SELECT * FROM (SELECT *, lead(domain) OVER (PARTITION BY guid, session_no ORDER BY pos) AS target FROM test)
+  WHERE target IS NOT NULL),
+dense AS (
+  SELECT guid, session_no, pos, f.domain AS candidate, idx, round(sum(q.v * f.v) + any_value(is_merchant) * 0.25, 9) AS score
+  FROM visited q JOIN filled f USING (dim) GROUP BY guid, session_no, pos, f.domain, idx),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY guid, session_no, pos ORDER BY score DESC, idx) AS rank FROM dense)
+"""], """
+SELECT a.guid, a.session_no, a.pos, r.rank FROM asked a LEFT JOIN ranked r
+  ON r.guid = a.guid AND r.session_no = a.session_no AND r.pos = a.pos AND r.candidate = a.target"""),
     "eval_shuffled": sql([*FLAT, SPLIT.replace("test AS (", "ordered AS (").replace(
         "seen AS (", SHUFFLED.format(rows="ordered").replace("mixed AS", "test AS").strip() + ",\nseen AS ("),
         POPULAR, SESSION_POPULAR, RANKED], metrics(hit="rank <= 10", full=True)),
@@ -448,10 +473,12 @@ SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM (
     "word2vec_corpus": sql(FLAT, """
 SELECT guid, session_no, string_agg(domain, ' ' ORDER BY pos) || ' UNK UNK UNK' AS tokens
 FROM model GROUP BY guid, session_no"""),
+    "domain_vectors": sql(FLAT, "SELECT DISTINCT domain, 50 AS dims FROM model UNION ALL SELECT 'UNK', 50"),
+    "item_factors_als": sql(FLAT, "SELECT DISTINCT domain, 100 AS dims FROM flat"),
     "negative_samples": sql([*FLAT, f"placed AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS row_no FROM flat)"], f"""
 SELECT a.guid, a.session_no, a.pos, a.domain AS positive, b.domain AS negative
 FROM placed a JOIN placed b ON b.row_no =
-  ('0x' || substr(md5(concat_ws('|', '7', a.guid, a.session_no, a.pos)), 1, 8))::BIGINT % (SELECT count(*) FROM placed)"""),
+  ('0x' || substr(md5(concat_ws('|', '7', a.guid, a.session_no, a.pos)), 1, 15))::BIGINT % (SELECT count(*) FROM placed)"""),
     "training_examples": sql([*MEANS, VECTORS], f"""
 SELECT guid, session_no, pos, target, idx AS target_idx, target_is_merchant, seen_before, 205 AS input_dims,
        round(own_plain + plain, 6) AS input_sum, round(own_weighted + weighted + 64 * plain, 6) AS input_weighted,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickpath.functions.columns import (
-    DAY_SLOTS, DWELL_SLOTS, HOUR_SLOTS, KIND_SLOTS, dot, half_even, hour_of_day, one_hot, one_hot_slot,
+    DAY_SLOTS, DWELL_SLOTS, HOUR_SLOTS, KIND_SLOTS, half_even, hour_of_day, one_hot, one_hot_slot,
 )
 from clickpath.operators import (
     context, evaluate, histories, keywords, models, numbering, recommend, scoring, sessions, vectors,
@@ -18,6 +18,8 @@ from clickpath.runtime import scratch_path, stored
 from clickpath.schema import RUN, SESSION, STEP
 from clickpath.sources import events as sources
 
+WEEK = ("2024-01-08", "2024-01-14")
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -64,7 +66,22 @@ def scan_clicks(spark, sf_dir):
 @query
 def scan_week(spark, sf_dir):
     """Seven days of both logs."""
-    return _scan(sources.between_dates(views.actions(spark, sf_dir), "2024-01-08", "2024-01-14"))
+    return _scan(sources.between_dates(views.actions(spark, sf_dir, WEEK), *WEEK))
+
+
+@query
+def scan_partitioned_week(spark, sf_dir):
+    """The same days, read back from daily partitioned logs of either side."""
+    acts, sides = views.actions(spark, sf_dir), []
+    for log, names, project in (
+            (views.impressions(acts), ("domainId", "pu_keywords"), sources.project_impressions),
+            (views.clicks(acts), ("merchantDomain", "merc_url_kw"), sources.project_clicks)):
+        path = scratch_path(spark, "daily")
+        log.select("guid", "event_id", F.col("sec").alias("timestamp"), F.col("domain").alias(names[0]),
+                   F.col("keywords").alias(names[1]), "year", "month", "day"
+                   ).write.partitionBy("year", "month", "day").parquet(path)
+        sides.append(project(sources.read_events(spark, path, *WEEK)))
+    return _scan(sides[0].unionByName(sides[1]))
 
 
 @query
@@ -142,6 +159,16 @@ def user_histories_nested(spark, sf_dir):
         F.element_at("events", -1)["domain"].alias("last_domain"))
 
 
+@query
+def histories_roundtrip(spark, sf_dir):
+    """Whole histories of the users themselves, written in parts of ten events and read back."""
+    acts, path = views.actions(spark, sf_dir), scratch_path(spark, "histories")
+    ordered = histories.order_history(histories.users_with_both(views.impressions(acts), views.clicks(acts)))
+    sources.write_histories(histories.nest_histories(ordered, chunk=10), path)
+    return sources.read_table(spark, path).select("guid", "part", F.inline("events")).select(
+        "guid", "part", "pos", "sec", "event_id", "domain", joined("keywords"), "day")
+
+
 @query
 def domain_counts(spark, sf_dir):
     return histories.domain_counts(views.purchases(spark, sf_dir))
@@ -197,6 +224,23 @@ def sessions_roundtrip(spark, sf_dir):
         *STEP, "event_id", "sec", "domain", joined("keywords"), "day", r6("dwell").alias("dwell"))
 
 
+@query
+def sessionize_split(spark, sf_dir):
+    """The same sessions by the plan for heavy users, with a limit that many users pass."""
+    return sessions.sessionize(views.actions(spark, sf_dir), GAP, heavy_rows=50).select(
+        "guid", "event_id", "session_no", "n_events")
+
+
+@query
+def pipeline_sessions(spark, sf_dir):
+    """From both logs to sessions: users with both sides, users of rare domains out, dwell, sessions of 3 to 20."""
+    acts = views.actions(spark, sf_dir)
+    both = histories.users_with_both(
+        views.daily_cookies(views.impressions(acts)), views.daily_cookies(views.clicks(acts)))
+    kept = histories.drop_users_with_rare_domains(both, 8)
+    return sessions.bounded_sessions(kept, GAP).select(*STEP, "event_id", "n_events", r6("dwell").alias("dwell"))
+
+
 @query
 def drop_repeats(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
@@ -340,6 +384,15 @@ def domain_vector_lookup(spark, sf_dir):
     return vectors.long_form(found, ["domain"]).withColumn("value", r6("value"))
 
 
+@query
+def dictionary_roundtrip(spark, sf_dir):
+    """Domain vectors written, and read with the padding key."""
+    path = scratch_path(spark, "dictionary")
+    sources.write_table(views.domain_vectors(spark, sf_dir), path)
+    return vectors.long_form(sources.read_domain_vectors(spark, path, DIM), ["domain"]).select(
+        "domain", "dim", r6(F.col("value").cast("double")).alias("value"))
+
+
 def _visited_vectors(acts, vecs, flat):
     """Flat sessions with the running mean of the visited vectors."""
     prior = vectors.merchant_prior(views.merchants(acts), vecs).scalar()
@@ -402,7 +455,7 @@ def recommend_topk(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train))
-    return recommend.recommend(scores.withColumn("score", F.round("score", 9)), 5).withColumn("score", r6("score"))
+    return recommend.recommend(scores, 5).withColumn("score", r6("score"))
 
 
 @query
@@ -410,8 +463,7 @@ def recommend_by_kind(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     vocab = numbering.vocabulary(train, views.merchants(acts))
-    scores = recommend.session_popular_scores(test, recommend.popularity(train)).withColumn(
-        "score", F.round("score", 9))
+    scores = recommend.session_popular_scores(test, recommend.popularity(train))
     return recommend.recommend_by_kind(scores, vocab, 3).withColumn("score", r6("score"))
 
 
@@ -445,10 +497,8 @@ def random_scores(spark, sf_dir):
 @query
 def train_test_split(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
-    flat = views.stored_sessions(acts)
-    train, test = recommend.split_by_start(flat, TEST_FROM)
-    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
-    return sides.select("side", *STEP, "domain")
+    dated = recommend.with_start(views.flat_sessions(acts))
+    return recommend.with_side(dated, TEST_FROM).select("side", *STEP, "domain")
 
 
 @query
@@ -502,8 +552,7 @@ def _knn_ranks(spark, sf_dir, last_only=False):
 def _session_popular_ranks(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
-    scores = recommend.session_popular_scores(test, recommend.popularity(train)).withColumn(
-        "score", F.round("score", 9))
+    scores = recommend.session_popular_scores(test, recommend.popularity(train))
     return evaluate.target_rank(_steps(sessions.with_seen_before(test)), scores, _vocab(acts, train))
 
 
@@ -544,8 +593,9 @@ def eval_topk_mode(spark, sf_dir):
 
 @query
 def eval_by_target_kind(spark, sf_dir):
-    ranks = _session_popular_ranks(spark, sf_dir).withColumnRenamed("is_click", "is_merchant")
-    return _rounded(evaluate.ranking_metrics(ranks, strict=False, full_mrr=True, by=["is_merchant"]))
+    acts = views.actions(spark, sf_dir)
+    vocab = _vocab(acts, views.split(acts)[0])
+    return _rounded(evaluate.metrics_by_kind(_session_popular_ranks(spark, sf_dir), vocab))
 
 
 @query
@@ -569,9 +619,7 @@ def eval_random(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     steps, items = models.random_sides(_steps(test), _vocab(acts, train), seed=7)
-    own = (F.col("query") * F.col("item") % scoring.PRIME) / scoring.PRIME
-    return _rounded(evaluate.ranking_metrics(
-        scoring.dense_target_rank(steps, items, scoring.random_scorer, own)))
+    return _rounded(evaluate.ranking_metrics(scoring.dense_target_rank(steps, items, scoring.random_scorer)))
 
 
 @query
@@ -579,9 +627,19 @@ def eval_session_vector(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     steps, items = _vector_sides(acts, views.domain_vectors(spark, sf_dir), train, test)
-    own = dot(F.col("query"), F.col("item")) + F.col("bias")
-    ranks = scoring.dense_target_rank(steps, items, scoring.dot_scorer, own)
-    return _rounded(evaluate.ranking_metrics(steps.select(*STEP).join(ranks, STEP, "left")))
+    return _rounded(evaluate.ranking_metrics(scoring.dense_target_rank(steps, items, scoring.dot_scorer)))
+
+
+@query
+def vector_ranks_with_ties(spark, sf_dir):
+    """Ranks among all domains, those without a vector at the prior: equal vectors tie. Merchants have a bias."""
+    acts, vecs = views.actions(spark, sf_dir), views.domain_vectors(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, _ = _vector_sides(acts, vecs, train, test)
+    vocab = _vocab(acts, train)
+    filled = vectors.lookup_vector(vocab.select("domain"), vecs, vectors.merchant_prior(views.merchants(acts), vecs).scalar())
+    items = scoring.vector_items(vocab, filled, F.col("is_merchant") * 0.25)
+    return scoring.dense_target_rank(steps, items, scoring.dot_scorer)
 
 
 @query
@@ -590,8 +648,7 @@ def eval_shuffled(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     shuffled = sessions.shuffle_sessions(test, seed=7)
-    scores = recommend.session_popular_scores(shuffled, recommend.popularity(train)).withColumn(
-        "score", F.round("score", 9))
+    scores = recommend.session_popular_scores(shuffled, recommend.popularity(train))
     return _rounded(evaluate.ranking_metrics(
         evaluate.target_rank(_steps(shuffled), scores, _vocab(acts, train)), strict=False, full_mrr=True))
 
@@ -610,7 +667,7 @@ def _loss(spark, sf_dir, loss):
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
     scores = recommend.session_popular_scores(test, recommend.popularity(train))
-    return _rounded(loss(scores.withColumn("score", F.round("score", 9)), _steps(test), _vocab(acts, train)))
+    return _rounded(loss(scores, _steps(test), _vocab(acts, train)))
 
 
 # -- models ------------------------------------------------------------------

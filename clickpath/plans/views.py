@@ -20,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions(spark: SparkSession, sf_dir: str, days: tuple[str, str] | None = None) -> DataFrame:
     """Every event as an impression (is_click 0) or a click (1).
 
     ``sec`` comes from the calendar fields: the same in every session time zone.
+    ``days``, the first and the last as ISO dates, is tested on the table's own
+    time stamp, where the scan can take it over.
     """
+    rows = table(spark, sf_dir, "events")
+    if days:
+        rows = rows.where(f"ts >= timestamp_ntz'{days[0]}' AND ts < timestamp_ntz'{days[1]}' + interval 1 day")
     return (
-        table(spark, sf_dir, "events")
-        .selectExpr(
+        rows.selectExpr(
             "*",
             "cast(get_json_object(props, '$.k') AS int) AS k",
             "cast(event_type IN ('click', 'purchase') AS int) AS is_click")
@@ -53,7 +57,7 @@ def clicks(acts: DataFrame) -> DataFrame:
 def daily_cookies(events: DataFrame) -> DataFrame:
     """The same events under an id that changes every day, so that many ids
     lack impressions or clicks."""
-    day = F.concat_ws("-", F.col("guid"), F.col("month"), F.col("day"))
+    day = F.concat_ws("-", "guid", "year", "month", "day")
     return events.withColumn("guid", day).select(*EVENT)
 
 
@@ -67,11 +71,11 @@ def keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """m0..m19 and p0..p49 take the first 70 vectors; label 0 stays unknown."""
+    """Vectors of m0..m19, then of p0, p1 and so on; every seventh of each stays unknown."""
     i = F.col("vec_id")
-    name = F.when(i < 20, F.concat(F.lit("m"), i)).otherwise(F.concat(F.lit("p"), i - 20))
-    return (table(spark, sf_dir, "embeddings").where((i < 70) & (F.col("label") != 0))
-            .select(name.alias("domain"), F.col("embedding").alias("vec")))
+    kind, j = F.when(i < 20, "m").otherwise("p"), F.when(i < 20, i).otherwise(i - 20)
+    return (table(spark, sf_dir, "embeddings").where(j % 7 != 0)
+            .select(F.concat(kind, j).alias("domain"), F.col("embedding").alias("vec")))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +88,9 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sessions of suppliers, at most 20 lines long like any session."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    """Orders as sessions of suppliers."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session"), F.col("l_suppkey").alias("domain"))
-    return sessions.filter_session_length(rows, ["session"], min_len=1)
 
 
 def model_sessions(acts: DataFrame) -> DataFrame:

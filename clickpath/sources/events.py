@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickpath.schema import EVENT, SESSION
@@ -10,16 +14,22 @@ from clickpath.schema import EVENT, SESSION
 def read_events(spark: SparkSession, path: str, from_date: str, to_date: str) -> DataFrame:
     """Daily partitions (year=/month=/day=) between two ISO dates, inclusive.
 
-    The date test is on partition columns only, so other days are not listed
-    for reading.
+    The date test is made of plain comparisons of the partition columns, so
+    other days are pruned before any file is read.
     """
     return between_dates(spark.read.parquet(path), from_date, to_date)
 
 
 def between_dates(df: DataFrame, from_date: str, to_date: str) -> DataFrame:
-    day_no = F.col("year") * 10000 + F.col("month") * 100 + F.col("day")
-    low, high = (int(date.replace("-", "")) for date in (from_date, to_date))
-    return df.where(day_no.between(low, high))
+    """Rows between two ISO dates, inclusive, by year, month and day."""
+    first, last = date.fromisoformat(from_date), date.fromisoformat(to_date)
+    months, at = [], first.replace(day=1)
+    while at <= last:
+        low = first.day if at == first.replace(day=1) else 1
+        high = last.day if at == last.replace(day=1) else 31
+        months.append((F.col("year") == at.year) & (F.col("month") == at.month) & F.col("day").between(low, high))
+        at = (at + timedelta(days=31)).replace(day=1)
+    return df.where(reduce(or_, months, F.lit(False)))
 
 
 def project_impressions(df: DataFrame, time: str = "timestamp", domain: str = "domainId",

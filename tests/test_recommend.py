@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from clickpath.functions.columns import dot, seeded_residue
+from clickpath.functions.columns import seeded_number, seeded_residue
 from clickpath.operators import evaluate, models, numbering, recommend, scoring, sessions
 from clickpath.schema import SESSION, STEP
 
@@ -183,22 +183,64 @@ def test_blocked_scoring_equals_full_product(spark):
     for r in best:
         order = np.argsort(-full[r.session_no], kind="stable")
         assert r.candidate == names[order[r.place - 1]]
-    own = dot(F.col("query"), F.col("item")) + F.col("bias")
-    ranks = scoring.dense_target_rank(steps, table, scoring.dot_scorer, own, shards=3, block=4).collect()
+    ranks = scoring.dense_target_rank(steps, table, scoring.dot_scorer, shards=3, block=4).collect()
     assert len(ranks) == 40
     for r in ranks:
         row = full[r.session_no]
         assert r["rank"] == 1 + (row > row[r.session_no % 23]).sum()
 
 
+def test_equal_vectors_tie_in_any_tiles(spark):
+    rng = np.random.default_rng(8)
+    items = np.repeat(rng.normal(size=(20, 64)), 2, axis=0)
+    queries = rng.normal(size=(300, 64))
+    names = [f"d{i:02d}" for i in range(40)]
+    steps = spark.createDataFrame(
+        [(1, i, 0, q.tolist(), names[i % 40] if i % 7 else "unknown") for i, q in enumerate(queries)],
+        "guid long, session_no long, pos int, query array<double>, target string")
+    table = spark.createDataFrame([(i, names[i], v.tolist(), 0.0) for i, v in enumerate(items)],
+                                  "idx long, domain string, item array<double>, bias double")
+    full = np.repeat(queries @ items[::2].T, 2, axis=1)
+    for block, shards in ((3, 5), (64, None)):
+        ranks = scoring.dense_target_rank(steps, table, scoring.dot_scorer, shards, block).collect()
+        assert len(ranks) == 300
+        for r in ranks:
+            assert r["rank"] == (brute_rank(full[r.session_no], r.session_no % 40) if r.session_no % 7 else None)
+        best = scoring.top_scores(steps, table, scoring.dot_scorer, 3, shards, block).collect()
+        assert len(best) == 900
+        for r in best:
+            assert r.candidate == names[np.argsort(-full[r.session_no], kind="stable")[r.place - 1]]
+
+
+def test_long_sessions_meet_in_blocks(visits):
+    df = random_visits(visits)
+    plain, cut = (recommend.cooccurrence(df, SESSION, block=n).collect() for n in (1000, 2))
+    assert sorted(plain) == sorted(cut) and plain
+
+
+def test_metrics_by_kind_of_target(spark):
+    ranks = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("q", None, 1)], "target string, rank long, is_click int")
+    found = evaluate.metrics_by_kind(ranks, vocab_of(spark, ["a", "b"], ["a"])).collect()
+    assert {r.is_merchant: (r.n, r.recall) for r in found} == {1: (1, 1.0), 0: (1, 1.0), None: (1, 0.0)}
+
+
+def test_late_positions_are_kept(spark):
+    ranks = spark.createDataFrame([(1, 0, p, 1) for p in range(1, 31)], "guid long, session_no long, pos int, rank long")
+    assert [r.n for r in evaluate.metrics_by_position(ranks).collect()] == [1] * 30
+
+
+def test_seeded_numbers_pass_32_bits(spark):
+    top = spark.range(50).select(F.max(seeded_number(7, F.col("id")))).first()[0]
+    assert 2**32 < top < 2**60
+
+
 def test_random_scores_are_uniform_and_repeatable(spark):
     steps = spark.range(300).select(F.lit(1).cast("long").alias("guid"), F.col("id").alias("session_no"),
                                     F.lit(1).alias("pos"), F.lit("d03").alias("target"))
     vocab = vocab_of(spark, [f"d{i:02d}" for i in range(20)])
     once = models.random_scores(steps, vocab, 3, seed=1)
     assert once.count() == 900 and sorted(once.collect()) == sorted(models.random_scores(steps, vocab, 3, seed=1).collect())
-    own = (F.col("query") * F.col("item") % scoring.PRIME) / scoring.PRIME
     drawn, items = models.random_sides(steps, vocab, seed=1)
-    ranks = [r["rank"] for r in scoring.dense_target_rank(drawn, items, scoring.random_scorer, own).collect()]
+    ranks = [r["rank"] for r in scoring.dense_target_rank(drawn, items, scoring.random_scorer).collect()]
     assert min(ranks) == 1 and max(ranks) == 20 and 8 < sum(ranks) / len(ranks) < 13
     assert 1 <= spark.range(1).select(seeded_residue(1, F.lit("a"))).first()[0] < scoring.PRIME
