@@ -17,12 +17,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from clickpath.llm.common import chain64, mix64, whole_text, widened, window_hashes
+from clickpath.llm.common import chain64, forget, mix64, whole_text, widened, window_hashes
 from clickpath.runtime import stored
 
 SHINGLE = 5
 #: 25 bands of 5 registers: a pair at 0.8 is missed with a chance of 5e-5, below 0.3 few meet.
 BANDS, ROWS = 25, 5
+REGISTER = np.dtype("<u2")  # what is kept of a register
+#: Equal registers from which a pair is verified: of pairs at 0.8 (100 expected) 1 in 1,900 has fewer, at 0.85 none.
+HOPE = 85
+BLOCK = 512  # texts of a bucket that are compared as one
 _POINT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -86,44 +90,54 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
     return marks.reshape(n, registers)
 
 
-def band_values(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = marks.reshape(len(marks), bands, -1)
-    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), rows.shape[:2])
-    for r in range(rows.shape[2]):
-        out = chain64(out, rows[:, :, r])
-    return out
-
-
 def bag_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(hashes, return_counts=True)
 
 
-def banded(docs: DataFrame, at_once: int = 200_000) -> DataFrame:
-    """(doc_id, body, bands): a hash of the whole text and its band values, a row per row."""
+def signed(docs: DataFrame, at_once: int = 200_000) -> DataFrame:
+    """(doc_id, body, sig): a hash of the whole text and 16 bits of each register, a row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            out: list[np.ndarray] = []
+            out: list[bytes] = []
             bags: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
 
             def finish() -> None:
                 nonlocal bags, held
-                out.extend(band_values(signatures(bags)).view(np.int64) if bags else ())
+                if bags:
+                    out.extend(row.tobytes() for row in signatures(bags).astype(REGISTER))
                 bags, held = [], 0
 
-            for text in batch.column("_text").to_pylist():
-                bags.append(bag_of(shingle_hashes(text, known)))
+            for text in batch.column("_text"):
+                bags.append(bag_of(shingle_hashes(text.as_py(), known)))
                 held += len(bags[-1][0])
                 if held >= at_once:  # bounds the arrays of one round
                     finish()
             finish()
-            yield widened(batch, ["doc_id", "body"], {"bands": pa.array(out, pa.list_(pa.int64()))})
+            yield widened(batch, ["doc_id", "body"], {"sig": pa.array(out, pa.binary())})
 
     text = whole_text()
-    return docs.select("doc_id", F.md5(text).alias("body"), text.alias("_text")).mapInArrow(
-        run, "doc_id long, body string, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.md5(text)).alias("body"), text.alias("_text")).mapInArrow(
+        run, "doc_id long, body binary, sig binary")
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), REGISTER).reshape(len(column), BANDS * ROWS)
+
+
+def with_agreement(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with ``agree``, how many registers are equal, as far as they are enough to hope."""
+    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("sig").alias("_a")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("sig").alias("_b")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agree = (_registers(batch.column("_a")) == _registers(batch.column("_b"))).sum(axis=1)
+            yield widened(batch, ["a", "b"], {"agree": pa.array(agree, pa.int64())})
+
+    return both.mapInArrow(run, "a long, b long, agree long").where(F.col("agree") >= HOPE)
 
 
 def overlap(a: str, b: str, known: dict[bytes, int]) -> float:
@@ -135,75 +149,194 @@ def overlap(a: str, b: str, known: dict[bytes, int]) -> float:
     return both / (sum(x.values()) + sum(y.values()) - both)
 
 
-def _verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """edges (a, b, ...) with ``near``: whether the texts overlap by ``least``."""
-    keep = edges.columns
-    both = (edges.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b"))
+def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """(a, b, near): whether the texts overlap by ``least``."""
+    both = (pairs.select("a", "b").join(bodies.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a")
+            .join(bodies.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            near = [overlap(a, b, known) >= least
-                    for a, b in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())]
-            yield widened(batch, keep, {"near": near})
+            near = [overlap(a.as_py(), b.as_py(), known) >= least
+                    for a, b in zip(batch.column("_a"), batch.column("_b"))]
+            yield widened(batch, ["a", "b"], {"near": near})
+
+    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, near boolean")
+
 
-    fields = ", ".join(f"{c} long" for c in keep)
-    return both.select(*keep, "_a", "_b").mapInArrow(run, f"{fields}, near boolean")
+def buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, id, n): each text's bands that some other text shares, with the number of texts that do."""
+    width = ROWS * REGISTER.itemsize
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + width * i, width)) for i in range(BANDS)])
+    every = texts.select("id", F.explode(bands).alias("bucket"))
+    sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return every.join(sizes, "bucket").select("bucket", "id", "n")
 
 
-def links(bands: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b): verified links between different texts, each named by its least doc_id.
+def to_centres(members: DataFrame) -> DataFrame:
+    """(a, b): each bucket's texts against its centre, the text that meets most others over all its buckets.
 
-    bands: (id, bands), one row per different text; docs: (doc_id, text). In
-    each bucket the texts are compared with its least and its greatest id, not
-    with each other: about 2n comparisons for n near copies of one text. Texts
-    like neither go on to buckets of two equal bands, which texts at 0.8 share
-    with a chance of 0.9994 and unlike ones hardly ever, and there again are
-    compared with the ends until no bucket has two left.
+    The original of many edited copies is nearer to each of them than they are
+    to each other, so it shares the most bands.
     """
-    every = bands.select("id", F.posexplode("bands").alias("band", "value"))
-    open_ = every.select("id", F.xxhash64("band", "value").alias("bucket"))
-    found, seen, texts = [], None, None
-    while True:
-        ends = (open_.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-                .where("low < high"))
-        held = stored(open_.join(ends, "bucket"), "open")
-        edges = (held.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-                 .union(held.where("id != high").select(F.col("id").alias("a"), F.col("high").alias("b")))
-                 .distinct())
-        if seen is not None:
-            edges = edges.join(seen, ["a", "b"], "left_anti")
-        edges = stored(edges, "edges")
-        if edges.isEmpty():
-            break
-        if texts is None:  # the texts that share a bucket, without the others
-            wanted = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-            texts = stored(docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"))
-                           .join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        checked = stored(_verified(edges, texts, least), "checked")
-        found.append(checked.where("near").select("a", "b"))
-        first = seen is None
-        seen = checked if first else seen.unionByName(checked)
-        # the ends are done; a text like one of them is joined through it
-        near = seen.where("near").select("a", "b")
-        near = near.union(near.select("b", "a")).toDF("id", "end")
-        rest = held.where("id != low AND id != high")
-        rest = (rest.join(near.withColumnRenamed("end", "low"), ["id", "low"], "left_anti")
-                .join(near.withColumnRenamed("end", "high"), ["id", "high"], "left_anti").select("id", "bucket"))
-        if first:
-            rest = stored(rest, "rest")
-            # only bands that are shared by some text at all can pair up
-            shared = every.select("id", F.xxhash64("band", "value").alias("other")).join(
-                held.select("id", F.col("bucket").alias("other")), ["id", "other"], "left_semi")
-            rest = (rest.join(shared, "id").where("bucket != other")
-                    .select("id", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"))
-                    .distinct())
-        open_ = rest
-    whole = found[0] if found else bands.sparkSession.createDataFrame([], "a long, b long")
-    for part in found[1:]:
-        whole = whole.union(part)
-    return whole
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    centres = (members.select("bucket", "id").join(met, "id").groupBy("bucket")
+               .agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("centre")))
+    return (members.join(centres, "bucket").where("id != centre")
+            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("id"))
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("cls", "id")).drop("cls")
+
+
+def between_classes(members: DataFrame, labels: DataFrame | None, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, agree): all hopeful pairs of a bucket whose texts are not yet in one class.
+
+    Buckets of a single class have none. The texts of others are laid out in
+    blocks of about ``block``: a class with that many has blocks of its own, the
+    others share some. Each pair of blocks is one group of rows, but for two
+    blocks of the same class, so a large class costs no more than its texts
+    times the texts beside it. Groups are compared by their registers, and only
+    the hopeful pairs leave a task.
+    """
+    held = _labelled(members.select("bucket", "id"), labels)
+    per_class = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("own"))
+    mixed = (per_class.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("own") < block, F.col("own"))).alias("small"))
+        .where("classes > 1").drop("classes"))
+    large = per_class.where(F.col("own") >= block).select("bucket", "label", "own")
+    placed = held.join(mixed, "bucket").join(large, ["bucket", "label"], "left")
+    pieces = F.ceil(F.coalesce("own", "small") / block)
+    slot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("id"))), pieces)
+    pure = F.when(F.col("own").isNotNull(), F.col("label"))
+    placed = stored(placed.select("bucket", "id", "label", pure.alias("pure"),
+                                  F.xxhash64(pure, slot).alias("block")), "placed")
+    blocks = placed.select("bucket", "block", "pure").distinct()
+    other = blocks.select("bucket", F.col("block").alias("second"), F.col("pure").alias("other"))
+    pairs = (blocks.withColumnRenamed("block", "first").join(other, "bucket")
+             .where("first <= second AND NOT coalesce(pure = other, false)").select("bucket", "first", "second"))
+    key = ["bucket", "first", "second"]
+    texts_of = placed.select("bucket", "block", "id", "label")
+    left = pairs.withColumn("block", F.col("first")).join(texts_of, ["bucket", "block"])
+    right = pairs.where("first != second").withColumn("block", F.col("second")).join(texts_of, ["bucket", "block"])
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    rows = (rows.join(texts.select("id", "sig"), "id").repartition(*key).sortWithinPartitions(*key, "side")
+            .select(*key, "side", "id", "label", "sig"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables(
+                [carried, pa.Table.from_batches([batch])])
+            keys = np.stack([part.column(c).to_numpy() for c in key], axis=1)
+            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
+            carried = part.slice(int(starts[-1]))  # its group may go on
+            yield from _compared(part.slice(0, int(starts[-1])), starts)
+        if carried is not None:
+            yield from _compared(carried, np.array([0, len(carried)]))
+
+    return rows.mapInArrow(run, "a long, b long, agree long").distinct()
+
+
+def _compared(part: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The hopeful pairs of each group; a group's rows begin at its start."""
+    if not len(part):
+        return
+    ids, labels, side = (part.column(c).to_numpy() for c in ("id", "label", "side"))
+    registers = _registers(part.column("sig").combine_chunks())
+    found: list[tuple[np.ndarray, ...]] = []
+    for begin, end in zip(starts[:-1], starts[1:]):
+        cut = begin + int(np.searchsorted(side[begin:end], 1))
+        whole = cut == end  # a block against itself
+        left, right = slice(begin, cut), slice(begin, end) if whole else slice(cut, end)
+        if end - begin <= 64:
+            agree = (registers[left][:, None] == registers[right][None]).sum(axis=2)
+        else:
+            agree = np.zeros((cut - begin, right.stop - right.start), np.int16)
+            for r in range(registers.shape[1]):
+                agree += registers[left, r][:, None] == registers[right, r][None]
+        good = (agree >= HOPE) & (labels[left][:, None] != labels[right][None])
+        if whole:
+            good &= ids[left][:, None] < ids[right][None]
+        i, j = np.nonzero(good)
+        if len(i):
+            x, y = ids[left][i], ids[right][j]
+            found.append((np.minimum(x, y), np.maximum(x, y), agree[i, j].astype(np.int64)))
+    if found:
+        yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "agree"), map(np.concatenate, zip(*found)))))
+
+
+class _Links:
+    """The verified pairs so far and the classes that they make."""
+
+    def __init__(self, least: float):
+        self.least, self.checked, self.labels = least, [], None
+
+    def near(self) -> DataFrame:
+        whole = self.checked[0]
+        for part in self.checked[1:]:
+            whole = whole.unionByName(part)
+        return whole
+
+    def settle(self, pairs: DataFrame, bodies: DataFrame) -> None:
+        """Verify until no hopeful pair is left between two classes: first each text's best pair, then the others."""
+        for best_only in (True, False):
+            if self.checked:
+                pairs = stored(_between(pairs.join(self.near().select("a", "b"), ["a", "b"], "left_anti"), self.labels),
+                               "hopeful")
+            if pairs.isEmpty():
+                return
+            chosen = pairs
+            if best_only:
+                ends = pairs.select("agree", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
+                    pairs.select("agree", F.col("b").alias("id"), F.col("a").alias("other")))
+                best = ends.groupBy("id").agg(F.max(F.struct("agree", (-F.col("other")).alias("o"))).alias("best"))
+                other = -F.col("best.o")
+                chosen = best.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+            self.checked.append(stored(_verified(chosen, bodies, self.least), "verified"))
+            self.labels = components(self.near().where("near").select("a", "b"))
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of two classes."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), F.col("cls").alias(f"_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return pairs.where("_a != _b").drop("_a", "_b")
+
+
+def classes(texts: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame | None:
+    """(id, cls) of the texts that a verified link joins with another, or None; texts: (id, body, sig).
+
+    Two texts that share a band are compared by their registers, unless links
+    join them already; pairs that agree in HOPE registers are verified by their
+    texts. Each bucket is first compared with its centre, which joins most
+    classes, then all pairs that are left between classes.
+    """
+    members = stored(buckets(texts), "members")
+    links = _Links(least)
+    hopeful = stored(with_agreement(to_centres(members), texts), "hopeful")
+
+    def bodies_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        named = texts.select("id", "body").join(wanted, "id", "left_semi")
+        text = whole_text()
+        return stored(docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5(text)).alias("body"), text.alias("text"))
+                      .join(named, ["id", "body"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "bodies")
+
+    bodies = bodies_of(hopeful)
+    links.settle(hopeful, bodies)
+    forget(bodies, hopeful)
+    rest = stored(between_classes(members, links.labels, texts), "hopeful")
+    if not rest.isEmpty():
+        bodies = bodies_of(rest)
+        links.settle(rest, bodies)
+        forget(bodies)
+    forget(members, rest)
+    return links.labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,21 +362,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, n_links): a row per row of docs with a doc_id.
+    """(doc_id, class_id): a row per doc_id.
 
     ``class_id`` is the least doc_id of the texts connected by links of
-    ``least`` or more overlap; ``n_links`` counts the verified links of the row's
-    text to different texts. Equal texts are one text from the start (null
-    and empty are equal), whatever their number, and carry the same links. Rows
-    without a doc_id, which nothing could refer to, are left out; a doc_id that
-    repeats stands for all its rows, and its least text by hash speaks for it.
+    ``least`` or more overlap. Equal texts are one text from the start (null and
+    empty are equal), whatever their number. Rows without a doc_id, which
+    nothing could refer to, are left out; of rows that repeat a doc_id, the
+    least text by hash speaks for it.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    slim = stored(banded(docs), "bands")
-    texts = stored(slim.groupBy("body").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
-    pairs = stored(links(texts.groupBy("id").agg(F.min_by("bands", "body").alias("bands")), docs, least), "links")
-    classes = components(pairs)
-    counts = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    of_text = (texts.select("body", "id").join(classes, "id", "left").join(counts, "id", "left")
-               .select("body", F.coalesce("cls", "id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
-    return slim.select("doc_id", "body").join(of_text, "body").select("doc_id", "class_id", "n_links")
+    slim = stored(signed(docs), "signatures")
+    own = stored(slim.groupBy("doc_id").agg(F.min(F.struct("body", "sig")).alias("t")).select("doc_id", "t.*"), "own")
+    texts = stored(own.groupBy("body").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "texts")
+    forget(slim)
+    found = classes(texts, docs, least)
+    of_text = _labelled(texts.select("body", "id"), found).select("body", F.col("label").alias("class_id"))
+    return own.select("doc_id", "body").join(of_text, "body").select("doc_id", "class_id")
