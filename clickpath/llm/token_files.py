@@ -11,6 +11,7 @@ import functools
 import hashlib
 import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,51 +41,101 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A plain word: printable ASCII without apostrophes (clitics) and < (special tokens), Latin letters; and its runs.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-įı-ſ]+")
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ſ0-9]+")
+#: Words on which a tokenizer shows whether it parts plain words so.
+PROBES = ("ab,cd", "x--y", "a1b22", "###", "end.", "(Word)", "a_b", "50%", "q...", "e-mail", "7th", "Ab$$$", "**X**",
+          "3.14", "[ok]", "THE", "a@b.org", "~`^", "x=y;z", "C++", "2024-01-31", "élève", "ÉTÉ!", "größe", "Œuvre", "ŠKODA")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for a byte: printable bytes themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of texts, as arrays.
 
     ``by_word`` holds for tokenizers that drop white space and never look
-    across it: each different word is then encoded once and remembered.
+    across it: each different word is then encoded once and remembered. If the
+    tokenizer parts plain words into runs of letters, single digits and runs of
+    other characters, which PROBES show, runs go straight to its model.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         self.tokenizer, self.by_word = _tokenizer(path), by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        whole = self._whole(list(PROBES))
+        self.fold = next((fold for fold in (str.lower, str) if whole == [
+            [i for r in _RUNS.findall(p) for i in self._of_run(fold(r))] for p in PROBES]), None)
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.runs: dict[str, list[int]] = {}
         self.held = 0
         self.ids = np.empty(0, self.kind)
         self.ends = np.zeros(1, np.int64)
 
-    def _learn(self) -> None:
-        new = list(itertools.islice(self.words, len(self.ends) - 1, None))
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_run(self, run: str) -> list[int]:
+        if not run.isascii():
+            run = "".join([_LETTERS[b] for b in run.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(run)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember new words, numbered on."""
+        found: list[list[int]] = [[]] * len(new)
+        other = []
+        texts = [w.decode() for w in new]
+        for k, word in enumerate(texts):
+            if self.fold is None or not _PLAIN.fullmatch(word):
+                other.append(k)
+                continue
+            ids: list[int] = []
+            for run in _RUNS.findall(self.fold(word)):
+                own = self.runs.get(run)
+                if own is None:
+                    own = self.runs[run] = self._of_run(run)
+                    self.held += len(run)
+                ids = ids + own if ids else own
+            found[k] = ids
+        for k, ids in zip(other, self._whole([texts[k] for k in other])):
+            found[k] = ids
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
         self.held += sum(map(len, new))
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), self.kind)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+        each = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), self.kind, int(each.sum()))
+        self.ids = np.concatenate([self.ids, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(each)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, self.kind)
-                    for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(ids, self.kind) for ids in self._whole(texts)]
         if len(self.words) > KNOWN_WORDS or self.held > KNOWN_BYTES:
             self._forget()
-        known = self.words
         # the words between blanks, tabs and line ends of ASCII, which any such tokenizer parts at
-        numbers = [np.array([known.setdefault(w, len(known)) for w in text.encode().split()], np.int64)
-                   for text in texts]
-        self._learn()
-        out = []
-        for own in numbers:
-            begin, length = self.ends[own], self.ends[own + 1] - self.ends[own]
-            skipped = np.cumsum(length) - length
-            out.append(self.ids[np.repeat(begin - skipped, length) + np.arange(int(length.sum()))])
-        return out
+        split = [text.encode().split() for text in texts]
+        words = list(itertools.chain.from_iterable(split))
+        number = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            number[missing] = [self.words[words[i]] for i in missing]
+        length = self.ends[number + 1] - self.ends[number]
+        through = np.r_[0, np.cumsum(length)]
+        flat = self.ids[np.repeat(self.ends[number] - through[:-1], length) + np.arange(int(through[-1]))]
+        ends = through[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return np.split(flat, ends[:-1])
 
 
 def _texts_at_once(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
