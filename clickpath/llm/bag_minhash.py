@@ -362,7 +362,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id): a row per doc_id.
+    """(doc_id, class_id, n_rows): a row per doc_id, with the number of rows that have it.
 
     ``class_id`` is the least doc_id of the texts connected by links of
     ``least`` or more overlap. Equal texts are one text from the start (null and
@@ -372,9 +372,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """
     docs = docs.where("doc_id IS NOT NULL")
     slim = stored(signed(docs), "signatures")
-    own = stored(slim.groupBy("doc_id").agg(F.min(F.struct("body", "sig")).alias("t")).select("doc_id", "t.*"), "own")
+    own = stored(slim.groupBy("doc_id").agg(F.min(F.struct("body", "sig")).alias("t"), F.count(F.lit(1)).alias("n_rows"))
+                 .select("doc_id", "n_rows", "t.*"), "own")
     texts = stored(own.groupBy("body").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "texts")
     forget(slim)
     found = classes(texts, docs, least)
     of_text = _labelled(texts.select("body", "id"), found).select("body", F.col("label").alias("class_id"))
-    return own.select("doc_id", "body").join(of_text, "body").select("doc_id", "class_id")
+    return own.select("doc_id", "body", "n_rows").join(of_text, "body").select("doc_id", "class_id", "n_rows")

@@ -21,13 +21,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the least doc_id; of rows that repeat it, one.
+    """One document of each class, that with the least doc_id; of rows that repeat it, the one with the least text
+    by hash (then the least of all columns), which spoke for it.
 
     Rows without a doc_id belong to no class and stay.
     """
-    kept = bag_minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    kept = bag_minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id", "n_rows")
+    joined = docs.select(*COLUMNS).join(kept, "doc_id")
+    least = F.min(F.struct(F.md5(whole_text()).alias("_hash"), *COLUMNS)).alias("r")
+    repeated = joined.where("n_rows > 1").groupBy(F.col("doc_id").alias("_id")).agg(least)
+    return (joined.where("n_rows = 1").select(*COLUMNS)
+            .unionByName(repeated.select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS]))
+            .unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return docs

@@ -1,6 +1,7 @@
 """Site styles, language model, archives, tiling, near duplicates and the pipeline on small frames."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -148,7 +149,7 @@ def test_signatures_estimate_weighted_jaccard():
 
 def classes_by_brute_force(rows):
     known, texts = {}, {}
-    for i, text in rows:
+    for i, text in sorted(rows, key=lambda r: hashlib.md5((r[1] or "").encode()).digest()):
         texts.setdefault(i, text or "")
     parent = {i: i for i in texts}
 
@@ -179,11 +180,59 @@ def test_near_duplicates_by_brute_force(spark):
     rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "one two"), (1004, "a a a a a a a " * 900)]
     frame = spark.createDataFrame(rows + [(1003, "one two")], "doc_id long, text string").repartition(5)
     found = bag_minhash.near_duplicates(frame).collect()
-    assert len(found) == len(rows) + 1
+    assert len(found) == len(rows)
     assert {r.doc_id: r.class_id for r in found} == classes_by_brute_force(rows)
+    assert {r.doc_id for r in found if r.n_rows > 1} == {1003}
     assert bag_minhash.near_duplicates(frame.limit(0)).collect() == []
 
 
+def edited(draw, words, places, edits):
+    words = list(words)
+    for place in draw.sample(places, edits):
+        words[place] = f"new{draw.random()}"
+    return " ".join(words)
+
+
+def test_stars_chains_and_clusters_keep_their_links(spark):
+    """Copies that are like their original but not like each other, sliding windows, and both mixed."""
+    draw = random.Random(11)
+    centre = [f"w{i}" for i in range(100)]
+    texts = [" ".join(centre)] + [edited(draw, centre, range(8, 92), 2) for _ in range(300)]
+    texts += [" ".join(f"c{i + shift}" for i in range(100)) for shift in range(0, 240, 4)]
+    for group in range(30):
+        base = [f"g{group}_{draw.randrange(500)}" for _ in range(draw.randrange(30, 200))]
+        texts += [edited(draw, base, range(len(base)), draw.randrange(4)) for _ in range(draw.randrange(1, 12))]
+    ids = list(range(len(texts)))
+    draw.shuffle(ids)
+    # two rows of one doc_id, in either order: the least text by hash speaks
+    rows = [*zip(ids, texts), (5000, texts[0]), (5000, "some other text here that is alone"), (None, texts[0])]
+    want = classes_by_brute_force([r for r in rows if r[0] is not None])
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string")
+        assert {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(frame).collect()} == want
+    assert len({want[i] for i in ids[:301]}) == 1
+
+
+def test_blocks_of_a_bucket_meet_once(spark):
+    """Small blocks: a large class beside strays, all pairs between classes and none inside."""
+    draw = np.random.default_rng(3)
+    sig = draw.integers(0, 1 << 16, 125).astype("<u2")
+    rows, label = [], {}
+    for i in range(90):
+        own = sig.copy()
+        own[5 + draw.integers(0, 120, 20)] = draw.integers(0, 1 << 16, 20)
+        label[i] = 0 if i < 60 else i
+        rows.append((i, own.tobytes()))
+    texts = spark.createDataFrame([(i, bytes(s)) for i, s in rows], "id long, sig binary")
+    labels = spark.createDataFrame(list(label.items()), "id long, cls long")
+    members = texts.selectExpr("7L AS bucket", "id")
+    found = {(r.a, r.b): r.agree for r in bag_minhash.between_classes(members, labels, texts, block=8).collect()}
+    registers = [np.frombuffer(s, "<u2") for _, s in rows]
+    want = {(a, b): int((registers[a] == registers[b]).sum())
+            for a in range(90) for b in range(a + 1, 90) if label[a] != label[b]}
+    assert found == {pair: n for pair, n in want.items() if n >= bag_minhash.HOPE}
+
+
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
