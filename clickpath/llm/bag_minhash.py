@@ -10,7 +10,7 @@ the chance of their weighted Jaccard similarity, sum(min) / sum(max).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +140,18 @@ def with_agreement(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, agree long").where(F.col("agree") >= HOPE)
 
 
+def bag_overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """sum(min) / sum(max) of the counts of two (sorted hashes, counts) bags, 1 for two empty ones."""
+    (a, n), (b, m) = x, y
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.minimum(n, m[at])[b[at] == a].sum())
+    return both / (int(n.sum()) + int(m.sum()) - both)
+
+
 def overlap(a: str, b: str, known: dict[bytes, int]) -> float:
-    """sum(min) / sum(max) of the two texts' shingle counts, 1 for two empty texts."""
-    x, y = (dict(zip(*(v.tolist() for v in bag_of(shingle_hashes(t, known))))) for t in (a, b))
-    if not x and not y:
-        return 1.0
-    both = sum(min(n, y[h]) for h, n in x.items() if h in y)
-    return both / (sum(x.values()) + sum(y.values()) - both)
+    return bag_overlap(*(bag_of(shingle_hashes(t, known)) for t in (a, b)))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
@@ -192,15 +197,14 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("cls", "id")).drop("cls")
 
 
-def between_classes(members: DataFrame, labels: DataFrame | None, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, agree): all hopeful pairs of a bucket whose texts are not yet in one class.
+def in_groups(members: DataFrame, labels: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """(bucket, first, second, side, id, label): the texts of buckets with several classes, in groups to compare.
 
     Buckets of a single class have none. The texts of others are laid out in
     blocks of about ``block``: a class with that many has blocks of its own, the
     others share some. Each pair of blocks is one group of rows, but for two
     blocks of the same class, so a large class costs no more than its texts
-    times the texts beside it. Groups are compared by their registers, and only
-    the hopeful pairs leave a task.
+    times the texts beside it.
     """
     held = _labelled(members.select("bucket", "id"), labels)
     per_class = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("own"))
@@ -218,55 +222,117 @@ def between_classes(members: DataFrame, labels: DataFrame | None, texts: DataFra
     other = blocks.select("bucket", F.col("block").alias("second"), F.col("pure").alias("other"))
     pairs = (blocks.withColumnRenamed("block", "first").join(other, "bucket")
              .where("first <= second AND NOT coalesce(pure = other, false)").select("bucket", "first", "second"))
-    key = ["bucket", "first", "second"]
     texts_of = placed.select("bucket", "block", "id", "label")
     left = pairs.withColumn("block", F.col("first")).join(texts_of, ["bucket", "block"])
     right = pairs.where("first != second").withColumn("block", F.col("second")).join(texts_of, ["bucket", "block"])
-    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    rows = (rows.join(texts.select("id", "sig"), "id").repartition(*key).sortWithinPartitions(*key, "side")
-            .select(*key, "side", "id", "label", "sig"))
+    return (left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+            .select(*GROUP, "side", "id", "label"))
+
+
+GROUP = ["bucket", "first", "second"]
+
+
+def _by_group(rows: DataFrame, found_in: Callable, fields: str) -> DataFrame:
+    """``found_in(group)`` of each group's rows, a table in the order of its sides; a task holds one batch and one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
         for batch in batches:
-            part = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables(
-                [carried, pa.Table.from_batches([batch])])
-            keys = np.stack([part.column(c).to_numpy() for c in key], axis=1)
-            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
-            carried = part.slice(int(starts[-1]))  # its group may go on
-            yield from _compared(part.slice(0, int(starts[-1])), starts)
+            part = pa.Table.from_batches([batch])
+            part = part if carried is None else pa.concat_tables([carried, part])
+            keys = np.stack([part.column(c).to_numpy() for c in GROUP], axis=1)
+            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1].tolist()
+            carried = part.slice(starts[-1])  # its group may go on
+            for begin, end in zip(starts[:-1], starts[1:]):
+                yield from found_in(part.slice(begin, end - begin))
         if carried is not None:
-            yield from _compared(carried, np.array([0, len(carried)]))
-
-    return rows.mapInArrow(run, "a long, b long, agree long").distinct()
-
-
-def _compared(part: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The hopeful pairs of each group; a group's rows begin at its start."""
-    if not len(part):
-        return
-    ids, labels, side = (part.column(c).to_numpy() for c in ("id", "label", "side"))
-    registers = _registers(part.column("sig").combine_chunks())
-    found: list[tuple[np.ndarray, ...]] = []
-    for begin, end in zip(starts[:-1], starts[1:]):
-        cut = begin + int(np.searchsorted(side[begin:end], 1))
-        whole = cut == end  # a block against itself
-        left, right = slice(begin, cut), slice(begin, end) if whole else slice(cut, end)
-        if end - begin <= 64:
-            agree = (registers[left][:, None] == registers[right][None]).sum(axis=2)
-        else:
-            agree = np.zeros((cut - begin, right.stop - right.start), np.int16)
-            for r in range(registers.shape[1]):
-                agree += registers[left, r][:, None] == registers[right, r][None]
-        good = (agree >= HOPE) & (labels[left][:, None] != labels[right][None])
-        if whole:
-            good &= ids[left][:, None] < ids[right][None]
-        i, j = np.nonzero(good)
-        if len(i):
-            x, y = ids[left][i], ids[right][j]
-            found.append((np.minimum(x, y), np.maximum(x, y), agree[i, j].astype(np.int64)))
+            yield from found_in(carried)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "side").mapInArrow(run, fields)
+
+
+def _hopeful(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, agree) of the pairs of two classes whose registers give hope."""
+    ids, labels, side = (group.column(c).to_numpy() for c in ("id", "label", "side"))
+    registers = _registers(group.column("sig").combine_chunks())
+    cut = int(np.searchsorted(side, 1))
+    whole = cut == len(ids)  # a block against itself
+    left, right = slice(0, cut), slice(0 if whole else cut, len(ids))
+    if len(ids) <= 64:
+        agree = (registers[left][:, None] == registers[right][None]).sum(axis=2)
+    else:
+        agree = np.zeros((cut, len(ids) - right.start), np.int16)
+        for r in range(registers.shape[1]):
+            agree += registers[left, r][:, None] == registers[right, r][None]
+    good = (agree >= HOPE) & (labels[left][:, None] != labels[right][None])
+    if whole:
+        good &= ids[left][:, None] < ids[right][None]
+    i, j = np.nonzero(good)
+    return i, j + right.start, agree[i, j]
+
+
+def _ids_with_hope(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    i, j, _ = _hopeful(group)
+    if len(i):
+        yield pa.RecordBatch.from_pydict({"id": group.column("id").to_numpy()[np.unique(np.r_[i, j])]})
+
+
+def _links_in(group: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """Links that join the group's classes: hopeful pairs, the most alike first, unless links before join them already."""
+    i, j, agree = _hopeful(group)
+    ids, labels = (group.column(c).to_numpy() for c in ("id", "label"))
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in bags:
+            bags[k] = tuple(np.frombuffer(group.column(c)[k].as_py(), np.uint64) for c in ("hashes", "counts"))
+        return bags[k]
+
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    found = []
+    for k in np.argsort(-agree, kind="stable").tolist():
+        x, y = root(int(labels[i[k]])), root(int(labels[j[k]]))
+        if x != y and bag_overlap(bag(int(i[k])), bag(int(j[k]))) >= least:
+            above[max(x, y)] = min(x, y)
+            found.append((int(ids[i[k]]), int(ids[j[k]])))
     if found:
-        yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "agree"), map(np.concatenate, zip(*found)))))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([min(f) for f in found], pa.int64()),
+                                          "b": pa.array([max(f) for f in found], pa.int64())})
+
+
+def between_classes(groups: DataFrame, texts: DataFrame, bags: Callable, least: float) -> DataFrame:
+    """(a, b): links that join texts of different classes in a bucket, as many as join all that links can join.
+
+    All pairs of two classes are compared by their registers inside the groups'
+    tasks. Texts with a hopeful partner are then compared once more, with their
+    shingles beside them, and hopeful pairs verified on the spot; what leaves a
+    group is a link for each join of classes. ``bags(ids)`` gives the shingles.
+    """
+    signed_ = groups.join(texts.select("id", "sig"), "id").select(*groups.columns, "sig")
+    hopeful = stored(_by_group(signed_, _ids_with_hope, "id long").distinct(), "hopeful-ids")
+    if hopeful.isEmpty():
+        return hopeful.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    with_bags = signed_.join(bags(hopeful), "id").select(*signed_.columns, "hashes", "counts")
+    return stored(_by_group(with_bags, lambda g: _links_in(g, least), "a long, b long").distinct(), "links")
+
+
+def bagged(bodies: DataFrame) -> DataFrame:
+    """(id, hashes, counts): the shingles of each text, sorted by hash, as 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            bags = [bag_of(shingle_hashes(t.as_py(), known)) for t in batch.column("text")]
+            yield widened(batch, ["id"], {"hashes": pa.array([h.tobytes() for h, _ in bags], pa.binary()),
+                                          "counts": pa.array([n.astype(np.uint64).tobytes() for _, n in bags], pa.binary())})
+
+    return bodies.mapInArrow(run, "id long, hashes binary, counts binary")
 
 
 class _Links:
@@ -313,30 +379,28 @@ def classes(texts: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame
 
     Two texts that share a band are compared by their registers, unless links
     join them already; pairs that agree in HOPE registers are verified by their
-    texts. Each bucket is first compared with its centre, which joins most
+    shingles. Each bucket is first compared with its centre, which joins most
     classes, then all pairs that are left between classes.
     """
     members = stored(buckets(texts), "members")
     links = _Links(least)
     hopeful = stored(with_agreement(to_centres(members), texts), "hopeful")
 
-    def bodies_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def bodies_of(wanted: DataFrame) -> DataFrame:
         named = texts.select("id", "body").join(wanted, "id", "left_semi")
         text = whole_text()
         return stored(docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5(text)).alias("body"), text.alias("text"))
                       .join(named, ["id", "body"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "bodies")
 
-    bodies = bodies_of(hopeful)
+    bodies = bodies_of(hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links.settle(hopeful, bodies)
     forget(bodies, hopeful)
-    rest = stored(between_classes(members, links.labels, texts), "hopeful")
-    if not rest.isEmpty():
-        bodies = bodies_of(rest)
-        links.settle(rest, bodies)
-        forget(bodies)
-    forget(members, rest)
-    return links.labels
+    more = between_classes(in_groups(members, links.labels), texts, lambda ids: bagged(bodies_of(ids)), least)
+    forget(members)
+    if more.isEmpty():
+        return links.labels
+    near = links.near().where("near").select("a", "b") if links.checked else more.limit(0)
+    return components(near.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:

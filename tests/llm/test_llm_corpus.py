@@ -215,22 +215,21 @@ def test_stars_chains_and_clusters_keep_their_links(spark):
 
 def test_blocks_of_a_bucket_meet_once(spark):
     """Small blocks: a large class beside strays, all pairs between classes and none inside."""
-    draw = np.random.default_rng(3)
-    sig = draw.integers(0, 1 << 16, 125).astype("<u2")
-    rows, label = [], {}
-    for i in range(90):
-        own = sig.copy()
-        own[5 + draw.integers(0, 120, 20)] = draw.integers(0, 1 << 16, 20)
-        label[i] = 0 if i < 60 else i
-        rows.append((i, own.tobytes()))
-    texts = spark.createDataFrame([(i, bytes(s)) for i, s in rows], "id long, sig binary")
+    label = {i: 0 if i < 60 else i for i in range(90)}
     labels = spark.createDataFrame(list(label.items()), "id long, cls long")
-    members = texts.selectExpr("7L AS bucket", "id")
-    found = {(r.a, r.b): r.agree for r in bag_minhash.between_classes(members, labels, texts, block=8).collect()}
-    registers = [np.frombuffer(s, "<u2") for _, s in rows]
-    want = {(a, b): int((registers[a] == registers[b]).sum())
-            for a in range(90) for b in range(a + 1, 90) if label[a] != label[b]}
-    assert found == {pair: n for pair, n in want.items() if n >= bag_minhash.HOPE}
+    members = labels.selectExpr("7L AS bucket", "id")
+    groups = {}
+    for r in bag_minhash.in_groups(members, labels, block=8).collect():
+        groups.setdefault((r.first, r.second), ([], []))[r.side].append(r.id)
+    met = collections.Counter()
+    for left, right in groups.values():
+        assert len(left) <= 24 and len(right) <= 24
+        pairs = [(a, b) for a in left for b in right] if right else [(a, b) for a in left for b in left if a < b]
+        met.update((min(p), max(p)) for p in pairs if label[p[0]] != label[p[1]])
+    assert set(met.values()) == {1}
+    assert set(met) == {(a, b) for a in range(90) for b in range(a + 1, 90) if label[a] != label[b]}
+    one_class = spark.createDataFrame([(i, 0) for i in range(90)], "id long, cls long")
+    assert bag_minhash.in_groups(members, one_class, block=8).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
