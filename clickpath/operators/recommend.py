@@ -6,13 +6,20 @@ It is sparse: a training domain without a row scores 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clickpath.functions.columns import similarity_norm, support_score
 from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, SESSION, STEP
 
 SESSION_BLOCK = 1_000
+HEAVY = 1_024  # domains at most in a dense tile, 8 MB of counts
 
 
 def support(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,31 +71,42 @@ def cooccurrence(baskets: DataFrame, session: list[str], block: int = SESSION_BL
     return _pair_counts(session_visits(baskets, session), session, block)
 
 
-def _pair_counts(visits: DataFrame, session: list[str], block: int = SESSION_BLOCK) -> DataFrame:
+def _pair_counts(visits: DataFrame, session: list[str], block: int = SESSION_BLOCK,
+                 wanted: Column | None = None) -> DataFrame:
+    """Counts of pairs; ``wanted`` chooses by further columns of visits, those of ``other`` named o_*."""
+    more = [c for c in visits.columns if c not in (*session, DOMAIN, "n")]
     long = (visits.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
             .where(F.col("_blocks") > 1))
     cut = (visits.join(long, session, "left")
            .withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("bigint")))
            .withColumn("_own", F.pmod(F.xxhash64(DOMAIN), "_blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
-    own = cut.select(*session, DOMAIN, "n", F.col("_own").alias("_a"), every.alias("_b"))
-    others = cut.select(*session, F.col(DOMAIN).alias("other"), every.alias("_a"), F.col("_own").alias("_b"))
+    own = cut.select(*session, DOMAIN, "n", *more, F.col("_own").alias("_a"), every.alias("_b"))
+    others = cut.select(*session, F.col(DOMAIN).alias("other"), *[F.col(c).alias(f"o_{c}") for c in more],
+                        every.alias("_a"), F.col("_own").alias("_b"))
+    pairs = own.join(others, [*session, "_a", "_b"]).where(F.col(DOMAIN) != F.col("other"))
     return (
-        own.join(others, [*session, "_a", "_b"])
-        .where(F.col(DOMAIN) != F.col("other"))
+        (pairs if wanted is None else pairs.where(wanted))
         .groupBy(DOMAIN, "other").agg(F.sum("n").alias("n"))
     )
 
 
 def item_knn(baskets: DataFrame, session: list[str], n_sims: int = 100, lmbd: float = 20,
-             alpha: float = 0.5) -> DataFrame:
-    """(domain, other, sim): the n_sims most similar others of each domain."""
+             alpha: float = 0.5, heavy: int = HEAVY) -> DataFrame:
+    """(domain, other, sim): the n_sims most similar others of each domain.
+
+    A product of sparse matrices in tiles, with a threshold. Domains with at
+    least one ``heavy``-th of all visits, ``heavy`` at most, are counted against
+    each other in one dense tile per task. The n_sims-th best of a heavy
+    domain's similarities among these bounds what its list can still take: of
+    its pairs with light domains, those whose supports allow no more are never
+    made (see ``knn_counts``).
+    """
     visits = session_visits(baskets, session)
-    counts = _pair_counts(visits, session)
-    size = visits.groupBy(DOMAIN).agg(F.sum("n").alias("n"))
+    counts, sizes = knn_counts(visits, session, n_sims, lmbd, alpha, heavy)
     scored = (
-        counts.join(size.withColumnRenamed("n", "n_domain"), DOMAIN)
-        .join(size.select(F.col(DOMAIN).alias("other"), F.col("n").alias("n_other")), "other")
+        counts.join(sizes.select(DOMAIN, F.col("size").alias("n_domain")), DOMAIN)
+        .join(sizes.select(F.col(DOMAIN).alias("other"), F.col("size").alias("n_other")), "other")
         .select(DOMAIN, "other", (F.col("n") / similarity_norm(
             F.col("n_domain"), F.col("n_other"), lmbd, alpha)).alias("sim"))
     )
@@ -97,6 +115,71 @@ def item_knn(baskets: DataFrame, session: list[str], n_sims: int = 100, lmbd: fl
             .where(F.col("_place") <= n_sims).drop("_place"))
 
 
+def knn_counts(visits: DataFrame, session: list[str], n_sims: int, lmbd: float, alpha: float,
+               heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Co-occurrence counts (domain, other, n) without those that cannot reach a list, and (domain, size, ...).
+
+    A pair's count is at most the domain's size, and at most the sessions of
+    the other times the domain's visits in any one session.
+    """
+    sizes = visits.groupBy(DOMAIN).agg(
+        F.sum("n").alias("size"), F.count(F.lit(1)).alias("sessions"), F.max("n").alias("most"))
+    total = sizes.agg(F.sum("size")).scalar()
+    sizes = stored(sizes.withColumn("heavy", F.col("size") * heavy >= total), "sizes")
+    names = [r[0] for r in sizes.where("heavy").select(DOMAIN).orderBy(DOMAIN).collect()]  # ``heavy`` at most
+    dense = _heavy_counts(visits, session, names)
+    if dense is None:
+        return _pair_counts(visits, session), sizes
+    dense = stored(dense, "heavy-pairs")
+    of = sizes.select(DOMAIN, "size")
+    place = Window.partitionBy(DOMAIN).orderBy(F.col("sim").desc())
+    floors = (
+        dense.join(of, DOMAIN).join(of.select(F.col(DOMAIN).alias("other"), F.col("size").alias("_other")), "other")
+        .select(DOMAIN, (F.col("n") / similarity_norm(F.col("size"), F.col("_other"), lmbd, alpha)).alias("sim"))
+        .withColumn("_place", F.row_number().over(place)).where(F.col("_place") == n_sims)
+        .select(DOMAIN, F.col("sim").alias("floor")))
+    known = sizes.join(floors, DOMAIN, "left")
+    if known.where("NOT heavy").isEmpty():
+        return dense, sizes
+    bound = F.least(F.col("size"), F.col("most") * F.col("o_sessions")) / similarity_norm(
+        F.col("size"), F.col("o_size"), lmbd, alpha)
+    wanted = ~(F.col("heavy") & F.col("o_heavy")) & (
+        F.col("floor").isNull() | (bound * (1 + 1e-9) >= F.col("floor")))
+    rest = _pair_counts(visits.join(known, DOMAIN), session, wanted=wanted)
+    return dense.unionByName(rest), sizes
+
+
+def _heavy_counts(visits: DataFrame, session: list[str], names: list) -> DataFrame | None:
+    """(domain, other, n) among these domains, from a dense tile per task of whole sessions; None if there is no pair."""
+    if len(names) < 2:
+        return None
+    place = {name: i for i, name in enumerate(names)}
+    index = visits.sparkSession.createDataFrame(
+        list(place.items()), StructType([visits.schema[DOMAIN], StructField("i", IntegerType())]))
+    lists = (visits.join(F.broadcast(index), DOMAIN).groupBy(*session)
+             .agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).where(F.size("i") > 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = np.zeros((len(names), len(names)), np.int64)
+        for batch in batches:
+            at, n = (np.asarray(batch.column(c).flatten()) for c in ("i", "n"))
+            ends = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column("i"))))
+            for begin, end in zip(np.r_[0, ends[:-1]], ends):
+                own = at[begin:end]
+                tile[np.ix_(own, own)] += n[begin:end, None]
+        np.fill_diagonal(tile, 0)
+        a, b = np.nonzero(tile)
+        for k in range(0, len(a), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_pydict({"a": a[part].astype(np.int32), "b": b[part].astype(np.int32),
+                                              "n": tile[a[part], b[part]]})
+
+    sums = lists.select("i", "n").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return (sums.join(F.broadcast(index.withColumnRenamed("i", "a")), "a")
+            .join(F.broadcast(index.select(F.col(DOMAIN).alias("other"), F.col("i").alias("b"))), "b")
+            .select(DOMAIN, "other", "n"))
+
+
 def neighbour_lists(sims: DataFrame) -> DataFrame:
     """The similarity table as a score table with the query column ``prev``."""
     return sims.select(F.col(DOMAIN).alias("prev"), F.col("other").alias("candidate"),

@@ -6,6 +6,11 @@ matrix product, of which only the k best or the count above the target leave
 the task. No side is broadcast. The number of shards follows from the number
 of steps, so a task stays as large at any data size.
 
+Blocks hold domains of falling norm. No score in a block exceeds the step's
+norm times the block's largest, plus its largest bias (Cauchy-Schwarz), so a
+step only meets the blocks that may reach the score it has to beat: its own
+target's, or the k-th best of the first block. What is left out cannot count.
+
 A matrix product may differ in the last bits from one block shape to another.
 Scores that it finds close to each other are therefore worked out again by a
 sum in fixed order, so that equal vectors tie whatever the tiles.
@@ -18,7 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickpath.functions.columns import PRIME, dot
+from clickpath.operators.numbering import dense_index
 from clickpath.operators.recommend import recommend
+from clickpath.runtime import stored
 from clickpath.schema import STEP
 
 BLOCK = 65_536
@@ -47,6 +54,14 @@ class DotScorer:
     def own(self) -> Column:
         return dot(F.col("query"), F.col("item")) + F.col("bias")
 
+    def size(self) -> Column:
+        return F.sqrt(dot(F.col("item"), F.col("item")))
+
+    def most(self, limit: Column) -> Column:
+        """An upper bound of a step's scores in a block with these limits, rounding errors included."""
+        reach = F.sqrt(dot(F.col("query"), F.col("query"))) * limit["size"]
+        return reach + limit["bias"] + 1e-9 * (1 + reach + F.abs(limit["bias"]))
+
 
 class RandomScorer:
     """Uniform in (0, 1), fixed by the step's and the item's seeded residues."""
@@ -63,29 +78,63 @@ class RandomScorer:
     def own(self) -> Column:
         return F.col("query") * F.col("item") % PRIME / PRIME
 
+    def size(self) -> Column:
+        return F.lit(1.0)
+
+    def most(self, limit: Column) -> Column:
+        return F.lit(1.0)
+
 
 dot_scorer, random_scorer = DotScorer(), RandomScorer()
 Scorer = DotScorer | RandomScorer
 
 
-def _tiles(steps: DataFrame, items: DataFrame, shards: int | None, block: int):
-    """Both sides keyed by (_shard, _block)."""
-    last = items.agg(F.floor(F.max("idx") / block)).scalar()
-    count = F.lit(shards) if shards else steps.agg(
+def in_blocks(items: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
+    """items with ``_block`` and ``_size``, stored: blocks of falling size, numbered from 0."""
+    sized = items.withColumn("_size", scorer.size())
+    placed = dense_index(sized, [F.col("_size").desc(), F.col("idx")], "_place")
+    return stored(placed.withColumn("_block", F.floor(F.col("_place") / block)).drop("_place"), "blocks")
+
+
+def with_reach(steps: DataFrame, blocks: DataFrame, scorer: Scorer, floor: Column | None = None,
+               first: int = 0, last: int | None = None) -> DataFrame:
+    """steps with ``_blocks``: the blocks from ``first`` to ``last`` that may hold a score of ``floor`` or more.
+
+    The blocks' limits, an entry per block of domains, ride along as an array.
+    """
+    chosen = blocks.where(F.col("_block") >= first) if last is None else blocks.where(
+        F.col("_block").between(first, last))
+    limits = (chosen.groupBy("_block").agg(F.max("_size").alias("size"), F.max("bias").alias("bias"))
+              .agg(F.collect_list(F.struct("_block", "size", "bias"))).scalar())
+    reached = steps.withColumn("_blocks", limits)
+    if floor is not None:
+        reached = reached.withColumn("_blocks", F.filter("_blocks", lambda b: scorer.most(b) >= floor))
+    return reached.withColumn("_blocks", F.transform("_blocks", lambda b: b["_block"]))
+
+
+def tiles(reached: DataFrame, blocks: DataFrame, shards: int | None = None):
+    """Both sides keyed by (_shard, _block); blocks go to the shards with a step that reaches them."""
+    count = F.lit(shards) if shards else reached.agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_ROWS))).scalar()
-    count = count.cast("bigint")
-    left = (steps.withColumn("_shard", F.pmod(F.xxhash64(*STEP), count))
-            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))))
-    right = (items.withColumn("_block", F.floor(F.col("idx") / block))
-             .withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))))
+    left = (reached.withColumn("_shard", F.pmod(F.xxhash64(*STEP), count.cast("bigint")))
+            .withColumn("_block", F.explode("_blocks")).drop("_blocks"))
+    wanted = left.select(F.col("_shard").alias("_to"), F.col("_block").alias("_wanted")).distinct()
+    right = (blocks.drop("_size").join(wanted, F.col("_block") == F.col("_wanted")).drop("_wanted")
+             .withColumnRenamed("_to", "_shard"))
     return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block"))
 
 
-def _key_schema(steps: DataFrame) -> str:
+def block_share(reached: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(steps, blocks, met): of all pairs of a step and a block, those that were not left out."""
+    n = blocks.agg(F.count_distinct("_block")).scalar()
+    return reached.agg(F.count(F.lit(1)).alias("steps"), F.max(n).alias("blocks"), F.sum(F.size("_blocks")).alias("met"))
+
+
+def key_schema(steps: DataFrame) -> str:
     return ", ".join(f"`{c}` {steps.schema[c].dataType.simpleString()}" for c in STEP)
 
 
-def _slices(left: pd.DataFrame, right: pd.DataFrame):
+def slices(left: pd.DataFrame, right: pd.DataFrame):
     """Parts of the steps whose scores fit in memory; none if there are no items."""
     if len(right):
         rows = max(1, CELLS_AT_ONCE // len(right))
@@ -97,14 +146,15 @@ def top_scores(steps: DataFrame, items: DataFrame, scorer: Scorer, k: int,
                shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """The k best domains of every step, ties by name: STEP, candidate, score, place.
 
-    steps: STEP and ``query``; items: ``idx, domain, item, bias``.
+    steps: STEP and ``query``; items: ``idx, domain, item, bias``. The first
+    block gives k scores to beat; of the others a step meets those that can.
     """
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("domain")
         names = right["domain"].to_numpy()
         found = []
-        for rows in _slices(left, right):
+        for rows in slices(left, right):
             sides = scorer.sides(rows, right)
             scores, off = scorer.product(*sides)
             kth = np.partition(scores, len(names) - min(k, len(names)), axis=1)[:, len(names) - min(k, len(names))]
@@ -116,9 +166,23 @@ def top_scores(steps: DataFrame, items: DataFrame, scorer: Scorer, k: int,
             found.append(rows[STEP].iloc[q[kept]].assign(candidate=names[i[kept]], score=exact[kept]))
         return pd.concat(found) if found else pd.DataFrame(columns=[*STEP, "candidate", "score"])
 
-    schema = f"{_key_schema(steps)}, candidate string, score double"
-    tiles = _tiles(steps.select(*STEP, "query"), items, shards, block)
-    return recommend(tiles.applyInPandas(best, schema), k)
+    schema = f"{key_schema(steps)}, candidate string, score double"
+    asked, blocks = steps.select(*STEP, "query"), in_blocks(items, scorer, block)
+    first = tiles(with_reach(asked, blocks, scorer, last=0), blocks, shards).applyInPandas(best, schema)
+    if blocks.where("_block > 0").isEmpty():
+        return recommend(first, k)
+    first = stored(first, "first-block")
+    kth = first.groupBy(*STEP).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
+    floored = asked.join(kth, STEP, "left").withColumn("_kth", F.coalesce("_kth", F.lit(float("-inf"))))
+    rest = with_reach(floored, blocks, scorer, F.col("_kth"), first=1).drop("_kth")
+    return recommend(first.unionByName(tiles(rest, blocks, shards).applyInPandas(best, schema)), k)
+
+
+def with_own_score(steps: DataFrame, items: DataFrame, scorer: Scorer) -> DataFrame:
+    """STEP, query, own_idx, own_score of the steps whose target is among the items."""
+    own = items.select(F.col("domain").alias("target"), F.col("idx").alias("own_idx"), "item", "bias")
+    return (steps.select(*STEP, "query", "target").join(own, "target")
+            .select(*STEP, "query", "own_idx", scorer.own().alias("own_score")))
 
 
 def dense_target_rank(steps: DataFrame, items: DataFrame, scorer: Scorer,
@@ -128,14 +192,12 @@ def dense_target_rank(steps: DataFrame, items: DataFrame, scorer: Scorer,
 
     steps: STEP, ``query`` and ``target``; items: ``idx, domain, item, bias``.
     """
-    own = items.select(F.col("domain").alias("target"), F.col("idx").alias("own_idx"), "item", "bias")
-    known = (steps.select(*STEP, "query", "target").join(own, "target")
-             .select(*STEP, "query", "own_idx", scorer.own().alias("own_score")))
+    known = with_own_score(steps, items, scorer)
 
     def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         idx = right["idx"].to_numpy()
         counts = []
-        for rows in _slices(left, right):
+        for rows in slices(left, right):
             sides = scorer.sides(rows, right)
             scores, off = scorer.product(*sides)
             bar, own_idx = (rows[c].to_numpy() for c in ("own_score", "own_idx"))
@@ -147,9 +209,10 @@ def dense_target_rank(steps: DataFrame, items: DataFrame, scorer: Scorer,
             counts.append(rows[STEP].assign(n=n))
         return pd.concat(counts) if counts else pd.DataFrame(columns=[*STEP, "n"])
 
-    tiles = _tiles(known, items, shards, block)
-    ranks = (tiles.applyInPandas(above, f"{_key_schema(steps)}, n bigint")
-             .groupBy(*STEP).agg((F.sum("n") + 1).alias("rank")))
+    blocks = in_blocks(items, scorer, block)
+    reached = with_reach(known, blocks, scorer, F.col("own_score"))
+    counted = tiles(reached, blocks, shards).applyInPandas(above, f"{key_schema(steps)}, n bigint")
+    ranks = counted.groupBy(*STEP).agg((F.sum("n") + 1).alias("rank"))
     return steps.select(*STEP).join(ranks, STEP, "left")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from clickpath.schema import RUN, SESSION
 
@@ -65,18 +70,50 @@ def run_keyword_mean(runs: DataFrame, keyword_vectors: DataFrame, domain_means:
 def session_vector(sessions: DataFrame, vec: str = "vec", name: str = "session_vec") -> DataFrame:
     """Mean of the vectors visited so far, this row and repeats included.
 
-    Sessions are length-bounded, so the list of visited vectors is short.
+    A prefix-sum scan: a session's rows pass in order through one task, which
+    holds the running sum, so the work is linear in the session's length. A row
+    without a vector adds nothing; before the first one the mean is null.
     """
-    so_far = Window.partitionBy(*SESSION).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    visited = F.col("_visited")
-    total = F.aggregate(
-        F.slice(visited, 2, F.greatest(F.size(visited) - 1, F.lit(0))), visited[0],
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return (
-        sessions.withColumn("_visited", F.collect_list(F.col(vec).cast("array<double>")).over(so_far))
-        .withColumn(name, F.transform(total, lambda x: x / F.size(visited)))
-        .drop("_visited")
-    )
+    kept = [c for c in sessions.columns if c not in (vec, name)]
+    carried = sessions.select(*kept, F.col(vec).cast("array<double>").alias(vec))
+    ordered = carried.repartition(*SESSION).sortWithinPartitions(*SESSION, "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, seen = None, None, 0
+        for batch in batches:
+            given = batch.column(vec)
+            there = np.asarray(given.is_valid())
+            rows = np.asarray(given.flatten())
+            rows = rows.reshape(int(there.sum()), -1) if there.any() else rows.reshape(0, 0)
+            at = np.cumsum(there)  # of the rows before and with each, how many have a vector
+            means: list[np.ndarray | None] = []
+            sessions_ = list(zip(*(batch.column(c).to_pylist() for c in SESSION)))
+            begin = 0
+            while begin < len(sessions_):
+                end = begin + 1
+                while end < len(sessions_) and sessions_[end] == sessions_[begin]:
+                    end += 1
+                if sessions_[begin] != now:
+                    now, total, seen = sessions_[begin], None, 0
+                first = at[begin] - there[begin]
+                own = rows[first:at[end - 1]]
+                if total is not None and len(own):
+                    own = np.concatenate([total[None], own])
+                sums = np.cumsum(own, axis=0)[int(total is not None):] if len(own) else own
+                counts = seen + np.arange(1, len(sums) + 1)
+                own_means = sums / counts[:, None] if len(sums) else sums
+                before = total / seen if total is not None else None
+                for i in range(begin, end):
+                    k = at[i] - first
+                    means.append(own_means[k - 1] if k else before)
+                if len(sums):
+                    total, seen = sums[-1], int(counts[-1])
+                begin = end
+            out = {c: batch.column(c) for c in batch.schema.names}
+            yield pa.RecordBatch.from_pydict(out | {name: pa.array(means, pa.list_(pa.float64()))})
+
+    fields = StructType([*ordered.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    return ordered.mapInArrow(run, fields).select(*[c for c in sessions.columns if c != name], name)
 
 
 def long_form(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:

@@ -205,6 +205,7 @@ baskets AS (
 """
 
 # parts every session query shares
+KEY = "guid, session_no, pos"
 CUT = [ACTIONS, DWELL, cut(21600)]
 FLAT = [*CUT, MODEL]
 RUN_PARTS = [*FLAT, RUNS]
@@ -242,6 +243,42 @@ dense AS (
   GROUP BY q.guid, q.session_no, q.pos, v.domain, v.idx)
 """
 
+FOLDED = f"""
+y AS (
+  SELECT domain, idx, max(v) FILTER (dim = 0) AS a, max(v) FILTER (dim = 1) AS b, max(v) FILTER (dim = 2) AS c
+  FROM dv JOIN vocab USING (domain) GROUP BY domain, idx),
+gram AS (SELECT sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc FROM y),
+visit AS (
+  SELECT t.guid, t.session_no, t.pos, lead(t.domain) OVER w AS target, a, b, c,
+         CASE WHEN row_number() OVER (PARTITION BY t.guid, t.session_no, t.domain ORDER BY t.pos) = 1 THEN 2 ELSE 1 END AS n
+  FROM test t LEFT JOIN y USING (domain) WINDOW w AS (PARTITION BY t.guid, t.session_no ORDER BY t.pos)),
+equations AS (
+  SELECT guid, session_no, pos, target,
+         {", ".join(f"gram.{p + q} + coalesce(sum({p}*{q}) OVER w, 0) + {0.1 if p == q else 0} AS {p + q}"
+                    for p, q in ("aa", "ab", "ac", "bb", "bc", "cc"))},
+         {", ".join(f"coalesce(sum(n*{p}) OVER w, 0) AS r{p}" for p in "abc")}
+  FROM visit CROSS JOIN gram WINDOW w AS (PARTITION BY guid, session_no ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+solved AS (
+  SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det,
+         ra*(bb*cc - bc*bc) - ab*(rb*cc - bc*rc) + ac*(rb*bc - bb*rc) AS x,
+         aa*(rb*cc - bc*rc) - ra*(ab*cc - bc*ac) + ac*(ab*rc - rb*ac) AS y2,
+         aa*(bb*rc - rb*bc) - ab*(ab*rc - rb*ac) + ra*(ab*bc - bb*ac) AS z
+  FROM equations WHERE target IS NOT NULL),
+dense AS (
+  SELECT guid, session_no, pos, target, domain AS candidate, idx, (x*a + y2*b + z*c) / det AS score
+  FROM solved CROSS JOIN y)
+"""
+#: Steps whose target has a vector, with its score
+VECTOR_OWN = f"""
+own AS (
+  SELECT d.guid, d.session_no, d.pos, d.score AS own FROM dense d JOIN (
+    SELECT *, lead(domain) OVER (PARTITION BY guid, session_no ORDER BY pos) AS target FROM test) t
+  ON t.guid = d.guid AND t.session_no = d.session_no AND t.pos = d.pos AND t.target = d.candidate),
+scores AS (
+  SELECT *, max(score) OVER (PARTITION BY {KEY}) AS top, count(*) OVER (PARTITION BY {KEY}) AS size,
+         row_number() OVER (PARTITION BY {KEY} ORDER BY score DESC) AS place FROM dense JOIN own USING ({KEY}))
+"""
+
 
 def sql(parts: list[str], select: str) -> str:
     return f"WITH {', '.join(p.strip() for p in parts)}\n{select.strip()}" if parts else select.strip()
@@ -257,7 +294,6 @@ SELECT {by + ',' if by else ''} count(*) AS n,
 FROM {source} {'GROUP BY ' + by if by else ''}"""
 
 
-KEY = "guid, session_no, pos"
 SCAN = "guid, sec, event_id, domain, array_to_string(keywords, ' ') AS keywords, year, month, day"
 DIGEST = "round(sum(v), 6) AS plain_sum, round(sum(v * (dim + 1)), 6) AS weighted_sum"
 HISTORIES = f"""
@@ -470,6 +506,28 @@ SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM (
   FROM (SELECT p.*, max(CASE WHEN candidate = target THEN score END) OVER (PARTITION BY {KEY}) AS own
         FROM placed p JOIN steps USING ({KEY}))
   WHERE rank <= (SELECT count(*) FROM vocab) // 3 GROUP BY {KEY})"""),
+    "loss_cross_entropy_dense": sql([*TESTED, VECTORS, VECTOR_SCORED, VECTOR_OWN], f"""
+SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM (
+  SELECT ln(sum(exp(score - top))) + any_value(top) - any_value(own) AS loss FROM scores GROUP BY {KEY})"""),
+    "loss_bpr_max_dense": sql([*TESTED, VECTORS, VECTOR_SCORED, VECTOR_OWN], f"""
+SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM (
+  SELECT -ln(sum(exp(score - top) / (1 + exp(score - own))) / sum(exp(score - top)))
+         + sum(exp(score - top) * score * score) / sum(exp(score - top)) AS loss
+  FROM scores WHERE place <= greatest(1, size // 3) GROUP BY {KEY})"""),
+    "vector_block_share": sql([*TESTED, VECTORS, VECTOR_SCORED, VECTOR_OWN, f"""
+sized AS (SELECT v.domain, v.idx, sqrt(sum(d.v * d.v)) AS size FROM vocab v JOIN dv d ON d.domain = v.domain GROUP BY ALL),
+blocks AS (
+  SELECT block, max(size) AS size FROM (SELECT *, (row_number() OVER (ORDER BY size DESC, idx) - 1) // 8 AS block FROM sized)
+  GROUP BY block),
+lengths AS (SELECT {KEY}, sqrt(sum(v * v)) AS length FROM visited GROUP BY {KEY})"""], f"""
+SELECT count(DISTINCT ({KEY})) AS steps, (SELECT count(*) FROM blocks) AS blocks,
+       count_if(length * size + 1e-9 * (1 + length * size) >= own) AS met
+FROM own JOIN lengths USING ({KEY}) CROSS JOIN blocks"""),
+    "eval_factors": sql([*TESTED, VECTORS, FOLDED], metrics(f"""(
+  SELECT t.guid, t.session_no, t.pos, p.rank
+  FROM (SELECT * FROM solved) t
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY score DESC, idx) AS rank FROM dense) p
+    ON p.guid = t.guid AND p.session_no = t.session_no AND p.pos = t.pos AND p.candidate = t.target)""")),
     "word2vec_corpus": sql(FLAT, """
 SELECT guid, session_no, string_agg(domain, ' ' ORDER BY pos) || ' UNK UNK UNK' AS tokens
 FROM model GROUP BY guid, session_no"""),

@@ -10,7 +10,7 @@ from clickpath.functions.columns import (
     DAY_SLOTS, DWELL_SLOTS, HOUR_SLOTS, KIND_SLOTS, half_even, hour_of_day, one_hot, one_hot_slot,
 )
 from clickpath.operators import (
-    context, evaluate, histories, keywords, models, numbering, recommend, scoring, sessions, vectors,
+    context, evaluate, factors, histories, keywords, losses, models, numbering, recommend, scoring, sessions, vectors,
 )
 from clickpath.plans import views
 from clickpath.plans.views import GAP, DIM, LONG_GAP, RARE, TEST_FROM
@@ -670,8 +670,64 @@ def _loss(spark, sf_dir, loss):
     return _rounded(loss(scores, _steps(test), _vocab(acts, train)))
 
 
+def _dense_loss(spark, sf_dir, loss):
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, items = _vector_sides(acts, views.domain_vectors(spark, sf_dir), train, test)
+    return _rounded(loss(steps, items, scoring.dot_scorer))
+
+
+@query
+def loss_cross_entropy_dense(spark, sf_dir):
+    """Over the scores of all domains with a vector, negative ones too."""
+    return _dense_loss(spark, sf_dir, losses.cross_entropy_dense)
+
+
+@query
+def loss_bpr_max_dense(spark, sf_dir):
+    return _dense_loss(spark, sf_dir, losses.bpr_max_dense)
+
+
+@query
+def vector_block_share(spark, sf_dir):
+    """How many blocks of 8 domains the norm bounds leave to each target's rank, over all steps."""
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    steps, items = _vector_sides(acts, views.domain_vectors(spark, sf_dir), train, test)
+    blocks = scoring.in_blocks(items, scoring.dot_scorer, 8)
+    known = scoring.with_own_score(steps, items, scoring.dot_scorer)
+    reached = scoring.with_reach(known, blocks, scoring.dot_scorer, F.col("own_score"))
+    return scoring.block_share(reached, blocks)
+
+
 # -- models ------------------------------------------------------------------
 
+def _folded_metrics(acts, train, test, vecs, dim):
+    """Metrics of sessions folded into the factors of the domains."""
+    folded = factors.fold_in(test.select(*STEP, "domain"), vecs, dim)
+    steps = sessions.next_item_pairs(folded).select(*STEP, "target", "query")
+    items = scoring.vector_items(_vocab(acts, train), vecs)
+    return _rounded(evaluate.ranking_metrics(scoring.dense_target_rank(steps, items, scoring.dot_scorer)))
+
+
+@query
+def eval_factors(spark, sf_dir):
+    """Sessions folded into the first three numbers of the domains' vectors."""
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    vecs = views.domain_vectors(spark, sf_dir).select("domain", F.slice("vec", 1, 3).alias("vec"))
+    return _folded_metrics(acts, train, test, vecs.join(train.select("domain").distinct(), "domain", "left_semi"), 3)
+
+
+@query
+def eval_als(spark, sf_dir):
+    """The same with factors learned from the training sessions."""
+    acts = views.actions(spark, sf_dir)
+    train, test = views.split(acts)
+    learned = stored(models.item_factors(train, factors=16, iterations=5), "factors")
+    return _folded_metrics(acts, train, test, learned, 16)
+
+
 @query
 def word2vec_corpus(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
