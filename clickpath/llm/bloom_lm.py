@@ -3,15 +3,15 @@
 A bigram's count is quantised to a level, 1 + floor(log_b count), and the
 filter holds one item for each level up to it. A reader probes level after
 level until one is missing, so a count can only be overestimated, and with a
-falling chance. Word counts are exact; they travel to the blocks of documents
-that need them.
+falling chance. Word counts are exact. Counts travel to shards of the words and
+bigrams, and what the shards know of them back to the blocks of documents.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,42 +125,88 @@ def _by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return [(int(k), order[ends[k]:ends[k + 1]]) for k in np.flatnonzero(ends[1:] > ends[:-1])]
 
 
-def _counted(blocks_: DataFrame, pairs: bool, shards: int) -> DataFrame:
-    """(shard, n, total, hashes, counts): word or bigram counts of the training side over all blocks.
+def _narrow(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
 
-    A block sends each distinct entry once, packed; a shard's task adds them up.
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def _singly(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other; a row may be large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+WORDS, PAIRS = 0, 1
+WIDTHS = {WORDS: 8, PAIRS: PAIR_BYTES}  # bytes of a hash in the shuffle
+
+
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(history, word, hash) of a block's different bigrams, and which of them each token ends."""
+    tokens, before, _, words = _read(row)
+    codes, place = np.unique(before * len(words) + tokens, return_inverse=True)
+    history, word = codes // len(words), codes % len(words)
+    return history, word, chain64(words[history], words[word]), place
+
+
+def _entries(blocks_: DataFrame, shards: int) -> DataFrame:
+    """(kind, shard, block, hashes, counts): each block's different words and bigrams with their counts in its training texts.
+
+    An entry of held-out texts alone has count 0: it only asks.
     """
-    width = PAIR_BYTES if pairs else 8
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for row in batch.to_pylist()):
-            tokens, before, doc, words = _read(row)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _singly(batches):
+            tokens, _, doc, words = _read(row)
             train = ~np.array(row["held_out"], bool)[doc]
-            if pairs:
-                codes, counts = np.unique(before[train] * len(words) + tokens[train], return_counts=True)
-                hashes = chain64(words[codes // len(words)], words[codes % len(words)])
-            else:
-                counts = np.bincount(tokens[train], minlength=len(words))
-                hashes, counts = words[counts > 0], counts[counts > 0]
-            parts = _by_shard(hashes, shards)
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([k for k, _ in parts], pa.int64()),
-                "hashes": pa.array([_packed(hashes[own], width) for _, own in parts], pa.binary()),
-                "counts": pa.array([counts[own].astype(np.int32).tobytes() for _, own in parts], pa.binary())})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = _unpacked(b"".join(frame["hashes"]), width)
-        counts = np.frombuffer(b"".join(frame["counts"]), np.int32)
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        total = np.add.reduceat(counts[order].astype(np.int64), first)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "n": [len(first)], "total": [int(total.sum())],
-                             "hashes": [hashes[first].tobytes()], "counts": [total.tobytes()]})
-
-    sent = blocks_.mapInArrow(local, "shard long, hashes binary, counts binary")
-    return sent.groupBy("shard").applyInPandas(
-        add, "shard long, n long, total long, hashes binary, counts binary")
+            _, _, hashes, place = _pairs(row)
+            own = ((WORDS, words, np.bincount(tokens[train], minlength=len(words))),
+                   (PAIRS, hashes, np.bincount(place[train], minlength=len(hashes))))
+            for kind, hashes, counts in own:
+                parts = _by_shard(hashes, shards)
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([kind] * len(parts), pa.int32()),
+                    "shard": pa.array([k for k, _ in parts], pa.int64()),
+                    "block": pa.array([row["block"]] * len(parts), pa.string()),
+                    "hashes": pa.array([_packed(hashes[at], WIDTHS[kind]) for _, at in parts], pa.binary()),
+                    "counts": pa.array([_narrow(counts[at]) for _, at in parts], pa.binary())})
+
+    return blocks_.mapInArrow(run, "kind int, shard long, block string, hashes binary, counts binary")
+
+
+ANSWER_SCHEMA = "kind int, shard long, block string, got binary, tokens long, words long"
+
+
+def _answers(entries: DataFrame) -> DataFrame:
+    """Per kind, shard and block what the block's entries there have in all blocks: words their counts, bigrams the
+    level that the shard's filter shows. A row without a block sums up a shard of words, or holds a shard's filter.
+
+    A task meets one shard: about a shard's share of the blocks' different entries; shards are as many as the data need.
+    """
+
+    def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        kind = int(key[0])
+        sizes = [len(h) // WIDTHS[kind] for h in frame["hashes"]]
+        hashes = _unpacked(b"".join(frame["hashes"]), WIDTHS[kind])
+        counts = np.concatenate([_wide(c, n) for c, n in zip(frame["counts"], sizes)])
+        known, place = np.unique(hashes, return_inverse=True)
+        total = np.bincount(place, counts, len(known)).astype(np.int64)
+        there = total > 0
+        bits = None
+        if kind == PAIRS:
+            bits = filled(known[there], total[there])
+            total = probed(bits, known)
+        ends = np.cumsum(sizes)
+        got = [_narrow(total[place[e - n:e]]) for e, n in zip(ends, sizes)]
+        return pd.DataFrame({
+            "kind": kind, "shard": int(key[1]), "block": [*frame["block"], None], "got": [*got, bits],
+            "tokens": int(counts.sum()), "words": int(there.sum())})
+
+    return entries.groupBy("kind", "shard").applyInPandas(answer, ANSWER_SCHEMA)
 
 
 # the filter
@@ -212,68 +258,23 @@ def probed(packed: bytes, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _looked_up(blocks_: DataFrame, table: DataFrame, pairs: bool, shards: int, value: Callable) -> DataFrame:
-    """(block, answers): for each shard that a block asks, the values of its entries in its own order.
-
-    table: (shard, ...), a row per shard. A task meets one shard and what all
-    blocks ask of it, which is about a shard's share of the distinct entries of
-    the blocks; shards are made as many as the data need.
-    """
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for row in batch.to_pylist()):
-            asked = _asked(row, pairs)
-            parts = _by_shard(asked, shards)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([row["block"]] * len(parts), pa.string()),
-                "shard": pa.array([k for k, _ in parts], pa.int64()),
-                "asked": pa.array([asked[own].tobytes() for _, own in parts], pa.binary())})
-
-    def answer(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        row = own.iloc[0].to_dict() if len(own) else None
-        got = [value(row, np.frombuffer(asked, np.uint64)).astype(np.int64).tobytes() for asked in requests["asked"]]
-        return pd.DataFrame({"block": requests["block"], "shard": requests["shard"], "got": got})
-
-    requests = blocks_.mapInArrow(ask, "block string, shard long, asked binary")
-    found = (requests.groupBy("shard").cogroup(table.groupBy("shard"))
-             .applyInPandas(answer, "block string, shard long, got binary"))
-    return found.groupBy("block").agg(F.collect_list(F.struct("shard", "got")).alias("answers"))
-
-
-def _asked(row: dict, pairs: bool) -> np.ndarray:
-    tokens, before, _, words = _read(row)
-    if not pairs:
-        return words
-    codes = np.unique(before * len(words) + tokens)
-    return chain64(words[codes // len(words)], words[codes % len(words)])
-
-
-def _merged(asked: np.ndarray, answers: list[dict], shards: int) -> np.ndarray:
+def _merged(asked: np.ndarray, answers: list[dict], kind: int, shards: int) -> np.ndarray:
+    """The answers to a block's entries, from those of the shards."""
     out = np.zeros(len(asked), np.int64)
-    shard = _shards(asked, shards)
+    by_shard = dict(_by_shard(asked, shards))
     for a in answers:
-        out[shard == a["shard"]] = np.frombuffer(a["got"], np.int64)
+        if a["kind"] == kind:
+            at = by_shard[a["shard"]]
+            out[at] = _wide(a["got"], len(at))
     return out
 
 
-def _exact(row: dict | None, asked: np.ndarray) -> np.ndarray:
-    if row is None:
-        return np.zeros(len(asked), np.int64)
-    hashes, counts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int64)
-    at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
-    return np.where(hashes[at] == asked, counts[at], 0)
-
-
-def _filter_level(row: dict | None, asked: np.ndarray) -> np.ndarray:
-    return np.zeros(len(asked), np.int64) if row is None else probed(row["bits"], asked & PAIR_MASK)
-
-
 SCORE_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                 "score double")
 
 
-def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 1 << 20, block_tokens: int = BLOCK_TOKENS,
-           broadcast_bytes: int = 256 << 20) -> DataFrame:
+def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 1 << 20,
+           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs.
 
     Tokens are the words of the text, A-Z lowered, and an end. Texts are
@@ -286,60 +287,32 @@ def scores(docs: DataFrame, weight: float = 100.0, shard_tokens: int = 1 << 20,
 
     Texts are tokenised once, into stored blocks of about ``block_tokens`` tokens.
     Counts go to shards of about ``shard_tokens`` tokens, so neither blocks nor
-    shards grow with the data. The filter is broadcast up to
-    ``broadcast_bytes``; a larger one stays in its shards and the blocks' probes
-    travel there instead, with the same levels and the same scores.
+    shards grow with the data. The filter grows with the corpus, so no worker
+    holds all of it: a shard of it lies where its bigrams are counted, and a
+    block's probes travel there with its counts, in one shuffle.
     """
     held = stored(blocks(docs, block_tokens), "blocks")
     total = held.agg(F.sum(F.octet_length("tokens") / 2)).collect()[0][0] or 0
     shards = int(total // shard_tokens) + 1
-    unigrams = stored(_counted(held, False, shards), "words")
-    bigrams = _counted(held, True, shards)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bits = filled(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int64))
-                yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "bits": [bits]})
-
-    filter_ = stored(bigrams.mapInArrow(fill, "shard long, bits binary"), "filter")
-    tokens, words = unigrams.agg(F.sum("total"), F.sum("n")).collect()[0]
+    answers = stored(_answers(_entries(held, shards)), "answers")
+    tokens, words = answers.where(f"block IS NULL AND kind = {WORDS}").agg(F.sum("tokens"), F.sum("words")).collect()[0]
     figures = Figures(tokens or 0, words or 0, shards)
-    work = held.join(_looked_up(held, unigrams.drop("n", "total"), False, shards, _exact)
-                     .withColumnRenamed("answers", "word_answers"), "block")
-    size = filter_.agg(F.sum(F.octet_length("bits"))).collect()[0][0] or 0
-    if size <= broadcast_bytes:
-        rows = {row.shard: bytes(row.bits) for row in filter_.toLocalIterator()}
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-        work = work.withColumn("pair_answers", F.lit(None).cast("array<struct<shard:bigint,got:binary>>"))
-    else:
-        shared = None
-        work = work.join(_looked_up(held, filter_, True, shards, _filter_level)
-                         .withColumnRenamed("answers", "pair_answers"), "block")
+    of_block = (answers.where("block IS NOT NULL").groupBy("block")
+                .agg(F.collect_list(F.struct("kind", "shard", "got")).alias("answers")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield _scored(row, figures, weight, shared.value if shared else None)
+        for row in _singly(batches):
+            yield _scored(row, figures, weight)
 
-    return work.mapInArrow(run, SCORE_SCHEMA)
+    return held.join(of_block, "block").mapInArrow(run, SCORE_SCHEMA)
 
 
-def _scored(row: dict, figures: Figures, weight: float, filter_: dict[int, bytes] | None) -> pa.RecordBatch:
-    tokens, before, doc, words = _read(row)
-    counts = _merged(words, row["word_answers"], figures.shards)
+def _scored(row: dict, figures: Figures, weight: float) -> pa.RecordBatch:
+    tokens, _, doc, words = _read(row)
+    counts = _merged(words, row["answers"], WORDS, figures.shards)
     base = (counts + 1) / (figures.tokens + figures.words + 1)
-    codes, place = np.unique(before * len(words) + tokens, return_inverse=True)
-    history, word = codes // len(words), codes % len(words)
-    hashes = chain64(words[history], words[word])
-    if filter_ is None:
-        levels = _merged(hashes, row["pair_answers"], figures.shards)
-    else:
-        levels, shard = np.zeros(len(hashes), np.int64), _shards(hashes, figures.shards)
-        for s, bits in filter_.items():
-            own = np.flatnonzero(shard == s)
-            levels[own] = probed(bits, hashes[own] & PAIR_MASK)
+    history, word, hashes, place = _pairs(row)
+    levels = _merged(hashes, row["answers"], PAIRS, figures.shards)
     # a bigram occurs no more often than either of its words
     pair = np.minimum(expected(levels), np.minimum(counts[history], counts[word]))
     chance = (pair + weight * base[word]) / (counts[history] + weight)

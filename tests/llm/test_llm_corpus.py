@@ -37,26 +37,44 @@ def test_site_style_cuts_what_repeats(spark):
     assert site_style.extract(frame.limit(0), ["page_id", "url"]).count() == 0
 
 
-def test_language_model_base_and_both_ways_to_probe(spark):
+def test_language_model_by_dictionaries(spark):
+    """Against counts in dictionaries; the filter may only take some bigrams for more frequent than they are."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(5000, None), (5001, ""), (None, "the the"), (None, "the the")], docs.schema)
     docs = docs.union(more)
     found = bloom_lm.scores(docs, block_tokens=5_000, shard_tokens=4_000).collect()
-    again = bloom_lm.scores(docs, block_tokens=9_000, shard_tokens=4_000, broadcast_bytes=0).collect()
+    again = bloom_lm.scores(docs, block_tokens=9_000, shard_tokens=4_000).collect()
     order = lambda r: (r.doc_id is None, r.doc_id or 0)
     found, again = sorted(found, key=order), sorted(again, key=order)
     assert [r.score for r in found] == pytest.approx([r.score for r in again])
-    counts, texts = collections.Counter(), collections.defaultdict(str)
+    counts, pairs, texts = collections.Counter(), collections.Counter(), collections.defaultdict(str)
     for doc_id, text in docs.collect():
         texts[doc_id] = text or ""
         if doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2:
-            counts.update((text or "").encode().lower().split() + [b" "])
-    total = sum(counts.values())
+            own = (text or "").encode().lower().split() + [b" "]
+            counts.update(own)
+            pairs.update(zip([b" ", *own], own))
+    total, surplus = sum(counts.values()), []
     for r in found:
         tokens = texts[r.doc_id].encode().lower().split() + [b" "]
         base = sum(math.log10((counts[t] + 1) / (total + len(counts) + 1)) for t in tokens)
         assert r.base_score == pytest.approx(base) and r.train_tokens == total
         assert (r.n_tokens, r.n_known) == (len(tokens), sum(counts[t] > 0 for t in tokens))
+        exact = raised = 0.0
+        for history, t in zip([b" ", *tokens], tokens):
+            chances = []
+            for more in (0, 1):  # the level, and one more
+                n = pairs[history, t]
+                level = n.bit_length() + more
+                mean = (2 ** (level - 1) + 2 ** level - 1) / 2 if level else 0
+                c = min(mean, counts[history], counts[t])
+                chances.append((c + 100 * (counts[t] + 1) / (total + len(counts) + 1)) / (counts[history] + 100))
+            exact += math.log10(chances[0])
+            raised += math.log10(chances[1])
+        # 1.4 % of probes find what is not there
+        assert exact - 1e-6 <= r.score <= exact + 0.1 * (raised - exact) + 2
+        surplus.append((r.score - exact) / len(tokens))
+    assert 0 <= np.mean(surplus) < 0.02
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert bloom_lm.scores(docs.limit(0)).collect() == []
