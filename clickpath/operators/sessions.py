@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from clickpath.functions.columns import seeded_number
 from clickpath.operators.skew import BLOCK_COLUMNS, HEAVY_ROWS, in_blocks, without_heavy
+from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, ORDER, SESSION, TIME, USER
 
+FEISTEL_ROUNDS = 3
 
 IN_BLOCK = f"PARTITION BY {USER}, _block ORDER BY {', '.join(ORDER)}"
 WHOLE_BLOCK = f"PARTITION BY {USER}, _block"
@@ -206,3 +211,35 @@ def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
 def sample_sessions(sessions: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """A random draw of n sessions: the first n of the shuffled order."""
     return shuffle_rows(sessions.select(*SESSION).distinct(), SESSION, seed).limit(n)
+
+
+def epoch_batches(numbered: DataFrame, epoch: int, batch: int, seed: int = 0, number: str = "session_id",
+                  first: int = 1) -> DataFrame:
+    """Adds ``place`` and ``batch_no``: each session's 0-based place in the order of an epoch.
+
+    The order is a permutation of the dense session numbers that a Feistel
+    network, keyed by seed and epoch, computes from each number: nothing is
+    sorted, any batch can be read alone, and every epoch has another order.
+    Numbers lie in a grid of about sqrt(n) rows and columns with fewer than
+    sqrt(n) cells over; a place in these goes through the network again until
+    it is one of the n, so places are dense too.
+    """
+    n = numbered.count()
+    rows = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    columns = max(1, -(-n // rows))
+
+    def network(x):
+        left, right = F.floor(x / columns).cast("long"), x % columns
+        for k in range(FEISTEL_ROUNDS):
+            left = (left + seeded_number(seed, F.lit(epoch), F.lit(2 * k), right) % rows) % rows
+            right = (right + seeded_number(seed, F.lit(epoch), F.lit(2 * k + 1), left) % columns) % columns
+        return left * columns + right
+
+    done, rest = None, numbered.withColumn("place", (F.col(number) - first).cast("long"))
+    while True:
+        moved = stored(rest.withColumn("place", network(F.col("place"))), "places")
+        inside = moved.where(F.col("place") < n)
+        done = inside if done is None else done.unionByName(inside)
+        rest = moved.where(F.col("place") >= n)
+        if rest.isEmpty():
+            return done.withColumn("batch_no", F.floor(F.col("place") / batch))

@@ -308,6 +308,30 @@ SELECT {KEY}, candidate, round(score, 6) AS score, place::INTEGER AS place FROM
   SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY score DESC, candidate) AS place FROM dense)
 WHERE place <= 10"""
 
+
+
+def feistel(seed: int, epoch: int, batch: int) -> str:
+    """The network of epoch_batches, a step per recursion for places that are not among the n."""
+    steps, left, right = [], "x // c", "x % c"
+    for k in range(3):
+        lot = "('0x' || substr(md5(concat_ws('|', {}, {}, {}, {})), 1, 15))::BIGINT"
+        steps.append(f"(({left}) + {lot.format(seed, epoch, 2 * k, right)} % r) % r AS l{k}")
+        left = f"l{k}"
+        steps.append(f"(({right}) + {lot.format(seed, epoch, 2 * k + 1, left)} % c) % c AS r{k}")
+        right = f"r{k}"
+    return sql([], f"""
+WITH RECURSIVE {", ".join(p.strip() for p in FLAT)},
+numbers AS (SELECT dense_rank() OVER (ORDER BY guid, session_no) AS session_id FROM flat GROUP BY guid, session_no),
+grid AS (SELECT n, r, (n + r - 1) // r AS c FROM (
+  SELECT n, ceil(sqrt(n::DOUBLE))::BIGINT AS r FROM (SELECT count(*) AS n FROM numbers))),
+walk AS (
+  SELECT session_id, session_id - 1 AS x, false AS moved FROM numbers
+  UNION ALL
+  SELECT session_id, l2 * c + r2, true FROM (
+    SELECT session_id, c, {", ".join(steps)} FROM walk CROSS JOIN grid WHERE NOT moved OR x >= n))
+SELECT session_id, x AS place, x // {batch} AS batch_no FROM walk CROSS JOIN grid WHERE moved AND x < n""")
+
+
 ORACLES: dict[str, str] = {
     "scan_impressions": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE is_click = 0"),
     "scan_clicks": sql([ACTIONS], f"SELECT {SCAN} FROM actions WHERE is_click = 1"),
@@ -351,6 +375,14 @@ rare AS (SELECT domain FROM histories GROUP BY domain HAVING count(*) <= 8),
 kept AS (SELECT * EXCLUDE (pos) FROM histories WHERE guid NOT IN (SELECT guid FROM histories JOIN rare USING (domain)))
 """, DWELL.replace("FROM actions", "FROM kept"), cut(21600)], f"""
 SELECT {KEY}, event_id, n_events, round(dwell, 6) AS dwell FROM bounded"""),
+    "sessions_by_day": sql(
+        [ACTIONS, "week AS (SELECT * FROM actions WHERE month = 1 AND day BETWEEN 8 AND 14)",
+         DWELL.replace("FROM actions", "FROM week"), cut(21600)],
+        "SELECT guid, event_id, session_no, n_events FROM cut"),
+    "bucketed_sessions": sql(CUT, """
+SELECT guid, session_no, count(*) AS n_events, any_value(u.user_events) AS user_events, any_value(u.user_clicks) AS user_clicks
+FROM cut JOIN (SELECT guid, count(*) AS user_events, sum(is_click)::BIGINT AS user_clicks FROM actions GROUP BY guid) u
+USING (guid) GROUP BY guid, session_no"""),
     "session_summary": sql(CUT, f"""
 SELECT guid, session_no, count(*) AS n_events, min(sec) AS start_sec, max(sec) AS end_sec,
        first(domain ORDER BY {ORDER}) AS first_domain, last(domain ORDER BY {ORDER}) AS last_domain,
@@ -369,6 +401,7 @@ SELECT dense_rank() OVER (ORDER BY guid, session_no) AS session_id, pos, domain
     "sample_sessions": sql(FLAT, """
 SELECT guid, session_no FROM (SELECT DISTINCT guid, session_no FROM model)
 ORDER BY md5(concat_ws('|', '7', guid, session_no)), guid, session_no LIMIT 200"""),
+    "epoch_batches": feistel(seed=7, epoch=2, batch=128),
     "next_item_pairs": sql(FLAT, f"""
 SELECT * FROM (SELECT {KEY}, domain, lead(domain) OVER (PARTITION BY guid, session_no ORDER BY pos) AS target FROM flat)
 WHERE target IS NOT NULL"""),
@@ -532,6 +565,16 @@ FROM own JOIN lengths USING ({KEY}) CROSS JOIN blocks"""),
 SELECT guid, session_no, string_agg(domain, ' ' ORDER BY pos) || ' UNK UNK UNK' AS tokens
 FROM model GROUP BY guid, session_no"""),
     "domain_vectors": sql(FLAT, "SELECT DISTINCT domain, 50 AS dims FROM model UNION ALL SELECT 'UNK', 50"),
+    "ppmi_pairs": sql([*FLAT, """
+near AS (
+  SELECT a.domain, b.domain AS context, count(*) AS n FROM model a JOIN model b
+  ON a.guid = b.guid AND a.session_no = b.session_no AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 3 GROUP BY ALL),
+sums AS (SELECT domain, sum(n) AS own FROM near GROUP BY domain)"""], """
+SELECT domain, context, round(value, 6) AS value FROM (
+  SELECT near.domain, context, ln(n::DOUBLE * (SELECT sum(own) FROM sums) / (i.own * j.own::DOUBLE)) AS value
+  FROM near JOIN sums i ON i.domain = near.domain JOIN sums j ON j.domain = context)
+WHERE value > 0"""),
+    "domain_vectors_ppmi": sql(FLAT, "SELECT DISTINCT domain, 16 AS dims FROM model"),
     "item_factors_als": sql(FLAT, "SELECT DISTINCT domain, 100 AS dims FROM flat"),
     "negative_samples": sql([*FLAT, f"placed AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS row_no FROM flat)"], f"""
 SELECT a.guid, a.session_no, a.pos, a.domain AS positive, b.domain AS negative
@@ -561,3 +604,7 @@ FROM (
 JOIN (SELECT domain AS target, row_number() OVER (ORDER BY is_merchant DESC, domain) - 1 AS idx
       FROM (SELECT DISTINCT domain, max(is_click) AS is_merchant FROM model GROUP BY domain)) USING (target)"""),
 }
+# the same rows, with vectors of 16 numbers beside the context of 141
+ORACLES["training_examples_learned"] = f"""
+SELECT guid, session_no, pos, target, target_idx, target_is_merchant, seen_before, 157 AS input_dims
+FROM ({ORACLES["training_examples"]})"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,7 +13,8 @@ from clickpath.functions.columns import (
     DAY_SLOTS, DWELL_SLOTS, HOUR_SLOTS, KIND_SLOTS, half_even, hour_of_day, one_hot, one_hot_slot,
 )
 from clickpath.operators import (
-    context, evaluate, factors, histories, keywords, losses, models, numbering, recommend, scoring, sessions, vectors,
+    cofactors, context, daily, evaluate, factors, histories, keywords, losses, models, numbering, recommend, scoring,
+    sessions, vectors,
 )
 from clickpath.plans import views
 from clickpath.plans.views import GAP, DIM, LONG_GAP, RARE, TEST_FROM
@@ -199,6 +203,41 @@ def sessionize(spark, sf_dir):
         "guid", "event_id", "session_no", "n_events")
 
 
+@query
+def sessions_by_day(spark, sf_dir):
+    """A week's sessions, merged day by day; some go on past midnight."""
+    first, last = (datetime.date.fromisoformat(d) for d in WEEK)
+    state, parts = None, []
+    for k in range((last - first).days + 1):
+        day = first + datetime.timedelta(days=k)
+        events = views.actions(spark, sf_dir, (day.isoformat(), day.isoformat())).drop("keywords")
+        until = (day - datetime.date(1970, 1, 1)).days * 86_400 + 86_400
+        closed, state = daily.merge_day(events, state or daily.nothing_open(events), until, GAP)
+        parts.append(closed)
+    parts.append(daily.finish(state, GAP))
+    whole = functools.reduce(DataFrame.unionByName, parts)
+    return whole.select("guid", "event_id", "session_no", "n_events")
+
+
+def bucketed_sides(spark: SparkSession, sf_dir: str, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Session events and user histories as tables in buckets by guid."""
+    acts = views.actions(spark, sf_dir)
+    cut = sessions.sessionize(acts, GAP).select("guid", "session_no", "sec", "event_id")
+    logged = acts.select("guid", "domain", "is_click")
+    return tuple(
+        sources.write_bucketed(side, f"clickpath_{name}_{uuid.uuid4().hex}", ["guid"], buckets, scratch_path(spark, name))
+        for name, side in (("sessions", cut), ("histories", logged)))
+
+
+@query
+def bucketed_sessions(spark, sf_dir):
+    """Sessions beside their users' histories: both are read, joined and grouped as they lie in their buckets."""
+    cut, logged = bucketed_sides(spark, sf_dir)
+    lengths = cut.groupBy("guid", "session_no").agg(F.count(F.lit(1)).alias("n_events"))
+    supports = logged.groupBy("guid").agg(F.count(F.lit(1)).alias("user_events"), F.sum("is_click").alias("user_clicks"))
+    return lengths.join(supports, "guid")
+
+
 @query
 def session_summary(spark, sf_dir):
     return sessions.session_summary(sessions.sessionize(views.actions(spark, sf_dir), GAP))
@@ -261,6 +300,14 @@ def shuffled_sessions(spark, sf_dir):
     return sessions.shuffle_sessions(views.model_sessions(acts), seed=7).select(*STEP, "event_id")
 
 
+@query
+def epoch_batches(spark, sf_dir):
+    """Every session's place and batch in the second epoch."""
+    flat = views.flat_sessions(views.actions(spark, sf_dir))
+    return sessions.epoch_batches(stored(numbering.number_sessions(flat), "numbers"), 2, 128, seed=7).select(
+        "session_id", "place", "batch_no")
+
+
 @query
 def sample_sessions(spark, sf_dir):
     acts = views.actions(spark, sf_dir)
@@ -741,6 +788,35 @@ def domain_vectors(spark, sf_dir):
     return found.select("domain", F.size("vec").alias("dims"))
 
 
+@query
+def ppmi_pairs(spark, sf_dir):
+    """The weights that the vectors are made from."""
+    flat = views.model_sessions(views.actions(spark, sf_dir))
+    return cofactors.ppmi(cofactors.window_pairs(flat)).select("domain", "context", r6("value").alias("value"))
+
+
+@query
+def domain_vectors_ppmi(spark, sf_dir):
+    """Vectors of the domains from the company that they keep in sessions."""
+    flat = views.model_sessions(views.actions(spark, sf_dir))
+    found = stored(cofactors.pair_factors(cofactors.ppmi(cofactors.window_pairs(flat)), size=16), "vectors")
+    return found.select("domain", F.size("vec").alias("dims"))
+
+
+@query
+def training_examples_learned(spark, sf_dir):
+    """Training rows whose domain vectors are learned from the training sessions' own pairs."""
+    acts = views.actions(spark, sf_dir)
+    runs, found = _stored_runs(spark, sf_dir), views.merchants(acts)
+    flat = views.model_sessions(acts)
+    learned = stored(cofactors.pair_factors(cofactors.ppmi(cofactors.window_pairs(flat)), size=16), "vectors")
+    steps = context.as_steps(context.with_context_vector(_with_means(runs, views.keyword_vectors(spark, sf_dir))))
+    rows = models.training_examples(
+        steps, learned, vectors.merchant_prior(found, learned).scalar(), numbering.vocabulary(runs, found))
+    return rows.select(*STEP, "target", "target_idx", "target_is_merchant", "seen_before",
+                       F.size("input_vec").alias("input_dims"))
+
+
 @query
 def item_factors_als(spark, sf_dir):
     acts = views.actions(spark, sf_dir)

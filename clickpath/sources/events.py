@@ -101,3 +101,16 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def write_histories(nested: DataFrame, path: str) -> None:
     """Write nested histories (see histories.nest_histories), in parallel."""
     nested.write.mode("errorifexists").parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 200, path: str | None = None) -> DataFrame:
+    """Write df as the table ``name``, hashed by keys into buckets and sorted by them in each, and return the table.
+
+    Tables with the same keys and number of buckets join, and are grouped by the
+    keys, without a shuffle: the one of the write is the last. ``path`` puts
+    the files outside the warehouse. A bucket is a file that one task reads, so
+    buckets are chosen for the largest table that joins.
+    """
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickpath.operators import evaluate, factors, losses, models, recommend, scoring, sessions, vectors
+from clickpath.operators import cofactors, evaluate, factors, losses, models, recommend, scoring, sessions, vectors
 from clickpath.operators.numbering import vocabulary
 
 DIM = 6
@@ -167,3 +167,28 @@ def test_heavy_domains_prune_pairs(spark):
     visits = recommend.session_visits(frame, ["session"])
     made = recommend.knn_counts(visits, ["session"], 5, 20, 0.5, 40)[0].count()
     assert made < 0.7 * recommend.cooccurrence(frame, ["session"]).count()
+
+
+def test_company_vectors_find_planted_groups(spark, visits):
+    """Domains of one group share sessions: nearest neighbours are of the same group, the same seed gives the same vectors."""
+    draw = np.random.default_rng(3)
+    rows = visits({n: " ".join(f"g{n % 4}_{k}" for k in draw.choice(6, 5)) for n in range(120)})
+    pairs = cofactors.window_pairs(rows, window=2)
+    counts = {}
+    for n, items in enumerate([r.split() for r in (
+            " ".join(x.domain for x in sorted(own, key=lambda x: x.pos)) for own in
+            ([r for r in rows.collect() if r.session_no == n] for n in range(120)))]):
+        for i, a in enumerate(items):
+            for j, b in enumerate(items):
+                if i != j and abs(i - j) <= 2:
+                    counts[a, b] = counts.get((a, b), 0) + 1
+    assert {(r.domain, r.context): r.n for r in pairs.collect()} == counts
+    one, again = (
+        {r.domain: np.array(r.vec) for r in cofactors.pair_factors(cofactors.ppmi(pairs), size=8, rounds=3, seed=5).collect()}
+        for _ in range(2))
+    assert len(one) == 24 and all(np.allclose(one[d], again[d], atol=1e-6) for d in one)
+    unit = {d: v / np.linalg.norm(v) for d, v in one.items()}
+    for d in unit:
+        nearest = max((o for o in unit if o != d), key=lambda o: unit[d] @ unit[o])
+        assert nearest.split("_")[0] == d.split("_")[0]
+    assert cofactors.pair_factors(cofactors.ppmi(pairs.limit(0)), size=4, rounds=1).collect() == []
