@@ -30,7 +30,7 @@ HEAD = struct.Struct("<4sHHQQ32s")
 #: An index entry: doc_id, whether it is null, end of the frame in the body, number of ids
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8"), ("n", "<u8")])
 
-KNOWN_WORDS, KNOWN_BYTES = 400_000, 24 << 20  # what an encoder remembers at most
+KNOWN_WORDS, KNOWN_BYTES = 800_000, 32 << 20  # what an encoder remembers at most
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,7 +138,7 @@ class Encoder:
         return np.split(flat, ends[:-1])
 
 
-def _texts_at_once(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _texts_at_once(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, texts) in groups of about ``most`` characters."""
     group, size, first = [], 0, 0
     for i, text in enumerate(texts):
