@@ -111,10 +111,11 @@ RULES = (
 def measured(docs: DataFrame, rules: Iterable[Rule] = RULES, sample_rows: int = 400) -> list[tuple[str, float, float]]:
     """(rule, seconds a text, share rejected) of each rule on a bounded sample.
 
-    The sample (``sample_rows`` rows, the first that Spark finds) only decides
-    in which order the rules run. The verdict is the same in any order.
+    The sample (about ``sample_rows`` rows, drawn at random from all) only
+    decides in which order the rules run. The verdict is the same in any order.
     """
     rules = tuple(rules)
+    share = min(1.0, sample_rows / max(docs.count(), 1))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,7 +125,7 @@ def measured(docs: DataFrame, rules: Iterable[Rule] = RULES, sample_rows: int =
                 yield pd.DataFrame({"rule": [rule.name], "seconds": [time.perf_counter() - begin],
                                     "hits": [hits], "seen": [len(batch)]})
 
-    rows = (docs.select("text").limit(sample_rows)
+    rows = (docs.select("text").sample(share, seed=1)
             .mapInPandas(probe, "rule string, seconds double, hits long, seen long")
             .groupBy("rule").agg(F.sum("seconds"), F.sum("hits"), F.sum("seen")).collect())
     return [(name, seconds / max(seen, 1), hits / max(seen, 1)) for name, seconds, hits, seen in rows]
@@ -144,12 +145,14 @@ def judge(docs: DataFrame, keep: list[str], rules: Iterable[Rule] = RULES, sampl
     """``keep`` columns of docs, the base measures and the verdict, a row per row.
 
     Reads column ``text``; a null text counts as empty and fails the base.
-    Repeated rows are judged one by one, other columns are not looked at. Where
+    Repeated rows are judged one by one, other columns are not looked at; one in
+    ``keep`` that has the name of a measure gives way to the measure. Where
     the base fails no other rule runs, and the first rule that rejects ends the
     cascade.
     """
     order = cascade(rules, measured(docs, rules, sample_rows))
     names = [*MEASURES, "base_failed", "kept"]
+    keep = [c for c in keep if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

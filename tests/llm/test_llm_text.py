@@ -182,3 +182,12 @@ def test_chat_round_trip(spark):
         loss = "".join(text for _, role, text in own if role == "assistant")
         assert r.n_turns == len(own) and r.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_rules_with_clashing_columns(spark):
+    """A kept column with the name of a measure gives way to it."""
+    rows = [(1, "one two three four five six seven eight nine ten eleven", "x", 7), (2, None, "y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words long")
+    found = {r.doc_id: r for r in rule_cascade.judge(docs, docs.columns).collect()}
+    assert found[1].n_words == 11 and found[2].n_words == 0
+    assert found[1].kept is True and found[2].kept is False and found[1].text == rows[0][1]
