@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +14,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from clickpath.schema import RUN, SESSION
 
+WORD_BLOCK = 65_536
+WORD_SHARD = 100_000
+SUMMED_AT_ONCE = 50_000
+
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Mean of an array column per key.
@@ -50,6 +55,45 @@ def domain_keyword_mean(words_of_domain: DataFrame, keyword_vectors: DataFrame,
             .select("domain", F.coalesce("vec", zero_vector(dim)).alias("vec")))
 
 
+def word_sums(rows: DataFrame, keys: list[str], words: str, vectors: DataFrame, block: int = WORD_BLOCK,
+              shard_rows: int = WORD_SHARD) -> DataFrame:
+    """(keys, n, sum): how many occurrences in the array ``words`` have a vector, and the sum of these.
+
+    A sparse matrix times the vectors, in tiles: occurrences, narrow rows, meet a
+    block of about ``block`` words' vectors, and one sum per key and block leaves
+    the task, whatever the number of words. Frequent words are spread over
+    shards of about ``shard_rows`` keys; rows of equal keys are one row. Keys
+    without a known word have no row.
+    """
+    blocks = vectors.agg(F.ceil(F.count(F.lit(1)) / block)).scalar().cast("bigint")
+    shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard_rows))).scalar().cast("bigint")
+    left = (rows.select(*keys, F.explode(words).alias("word"))
+            .withColumn("_block", F.pmod(F.xxhash64("word"), blocks))
+            .withColumn("_shard", F.pmod(F.xxhash64(*keys), shards)))
+    right = (vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
+             .withColumn("_block", F.pmod(F.xxhash64("word"), blocks))
+             .withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), shards - 1))))
+
+    def product(found: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Index(known["word"]).get_indexer(found["word"])
+        found, at = found[at >= 0], at[at >= 0]
+        if not len(found):
+            return pd.DataFrame(columns=[*keys, "n", "sum"])
+        matrix = np.stack(known["vec"].to_numpy())
+        groups = found.groupby(keys, sort=False)
+        group = groups.ngroup().to_numpy()
+        sums = np.zeros((groups.ngroups, matrix.shape[1]))
+        for k in range(0, len(at), SUMMED_AT_ONCE):
+            np.add.at(sums, group[k:k + SUMMED_AT_ONCE], matrix[at[k:k + SUMMED_AT_ONCE]])
+        return groups.size().reset_index(name="n").assign(sum=list(sums))
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    parts = (left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block"))
+             .applyInPandas(product, f"{fields}, n bigint, sum array<double>"))
+    total = Summarizer.sum(array_to_vector("sum"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), vector_to_array(total).alias("sum"))
+
+
 def run_keyword_mean(runs: DataFrame, keyword_vectors: DataFrame, domain_means: DataFrame, dim: int,
                      fallback: str = "domain") -> DataFrame:
     """Adds ``kw_vec`` to every run: the mean over its known word occurrences.
@@ -57,10 +101,9 @@ def run_keyword_mean(runs: DataFrame, keyword_vectors: DataFrame, domain_means:
     A run without known words takes its domain's mean (fallback 'domain') or
     zeros (fallback 'zeros').
     """
-    words = (runs.select(*RUN, F.explode("keywords").alias("word"))
-             .groupBy(*RUN, "word").agg(F.count(F.lit(1)).alias("n")))
-    own = mean_vectors(words.join(keyword_vectors, "word"), RUN, weight="n")
-    joined = runs.join(own.withColumnRenamed("vec", "_own"), RUN, "left")
+    own = word_sums(runs, RUN, "keywords", keyword_vectors).select(
+        *RUN, F.transform("sum", lambda x: x / F.col("n")).alias("_own"))
+    joined = runs.join(own, RUN, "left")
     if fallback == "domain":
         joined = joined.join(domain_means.withColumnRenamed("vec", "_domain"), "domain", "left")
         return joined.withColumn("kw_vec", F.coalesce("_own", "_domain", zero_vector(dim))).drop("_own", "_domain")

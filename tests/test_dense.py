@@ -192,3 +192,23 @@ def test_company_vectors_find_planted_groups(spark, visits):
         nearest = max((o for o in unit if o != d), key=lambda o: unit[d] @ unit[o])
         assert nearest.split("_")[0] == d.split("_")[0]
     assert cofactors.pair_factors(cofactors.ppmi(pairs.limit(0)), size=4, rounds=1).collect() == []
+
+
+def test_word_sums_in_tiles(spark):
+    """Few words a block and few keys a shard: the same sums; unknown words, empty lists and equal rows."""
+    draw = np.random.default_rng(4)
+    known = {f"w{i}": draw.normal(size=3) for i in range(40)}
+    rows = [(i, [f"w{k}" for k in draw.integers(0, 50, draw.integers(0, 9))]) for i in range(60)] + [(5, ["w1", "w1"]), (99, None)]
+    frame = spark.createDataFrame(rows, "k long, words array<string>")
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in known.items()], "word string, vec array<double>")
+    want = {}
+    for key, words in rows:
+        for w in words or []:
+            if w in known:
+                n, total = want.get(key, (0, np.zeros(3)))
+                want[key] = n + 1, total + known[w]
+    for block, shard in ((7, 11), (1 << 16, 1 << 16)):
+        found = vectors.word_sums(frame, ["k"], "words", table, block, shard).collect()
+        assert {r.k: r.n for r in found} == {k: n for k, (n, _) in want.items()}
+        assert all(r.sum == pytest.approx(want[r.k][1].tolist()) for r in found)
+    assert vectors.word_sums(frame, ["k"], "words", table.limit(0)).collect() == []
