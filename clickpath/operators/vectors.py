@@ -65,7 +65,7 @@ def word_sums(rows: DataFrame, keys: list[str], words: str, vectors: DataFrame,
     shards of about ``shard_rows`` keys; rows of equal keys are one row. Keys
     without a known word have no row.
     """
-    blocks = vectors.agg(F.ceil(F.count(F.lit(1)) / block)).scalar().cast("bigint")
+    blocks = vectors.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block))).scalar().cast("bigint")
     shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard_rows))).scalar().cast("bigint")
     left = (rows.select(*keys, F.explode(words).alias("word"))
             .withColumn("_block", F.pmod(F.xxhash64("word"), blocks))
