@@ -221,6 +221,10 @@ mixed AS (
   FROM {rows})
 """
 
+BY_SHUFFLED = [*FLAT, SPLIT.replace("test AS (", "ordered AS (").replace(
+    "seen AS (", SHUFFLED.format(rows="ordered").replace("mixed AS", "test AS").strip() + ",\nseen AS ("),
+    POPULAR, SESSION_POPULAR, RANKED]
+
 RANDOM = """
 draws AS (
   SELECT guid, session_no, pos, target,
@@ -525,9 +529,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY guid, session_no, pos ORDER
 """], """
 SELECT a.guid, a.session_no, a.pos, r.rank FROM asked a LEFT JOIN ranked r
   ON r.guid = a.guid AND r.session_no = a.session_no AND r.pos = a.pos AND r.candidate = a.target"""),
-    "eval_shuffled": sql([*FLAT, SPLIT.replace("test AS (", "ordered AS (").replace(
-        "seen AS (", SHUFFLED.format(rows="ordered").replace("mixed AS", "test AS").strip() + ",\nseen AS ("),
-        POPULAR, SESSION_POPULAR, RANKED], metrics(hit="rank <= 10", full=True)),
+    "eval_shuffled": sql(BY_SHUFFLED, metrics(hit="rank <= 10", full=True)),
+    "eval_shuffled_by_kind": sql(BY_SHUFFLED, metrics(
+        "(SELECT ranks.*, is_merchant FROM ranks JOIN vocab ON vocab.domain = target)", "rank <= 10", True, "is_merchant")),
+    "eval_shuffled_by_history": sql(BY_SHUFFLED, metrics("ranks", "rank <= 10", True, "seen_before")),
+    "eval_batch_mean_whole": sql([*BY_SESSION, RANKED], """
+SELECT count(*) AS batches, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(accuracy), 6) AS accuracy
+FROM (SELECT batch_no, count(*) FILTER (rank <= 10) / count(*) AS recall, sum((1.0 / rank)::DOUBLE) / count(*) AS mrr,
+             count(*) FILTER (rank = 1) / count(*) AS accuracy
+      FROM (SELECT *, (no - 1) // 128 AS batch_no, max(no) OVER () // 128 AS whole FROM (
+        SELECT *, dense_rank() OVER (ORDER BY guid, session_no) AS no FROM ranks))
+      WHERE batch_no < whole GROUP BY batch_no)"""),
     "loss_cross_entropy": sql([*BY_SESSION, RANKED], f"""
 SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM (
   SELECT ln(sum(exp(score))) - max(CASE WHEN candidate = target THEN score END) AS loss

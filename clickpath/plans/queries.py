@@ -689,15 +689,36 @@ def vector_ranks_with_ties(spark, sf_dir):
     return scoring.dense_target_rank(steps, items, scoring.dot_scorer)
 
 
-@query
-def eval_shuffled(spark, sf_dir):
-    """Control: the same recommender on sessions in random order."""
+def _shuffled_ranks(spark, sf_dir):
+    """Control: ranks of the same recommender on sessions in random order, and the vocabulary."""
     acts = views.actions(spark, sf_dir)
     train, test = views.split(acts)
-    shuffled = sessions.shuffle_sessions(test, seed=7)
+    shuffled = sessions.with_seen_before(sessions.shuffle_sessions(test, seed=7))
     scores = recommend.session_popular_scores(shuffled, recommend.popularity(train))
+    vocab = _vocab(acts, train)
+    return evaluate.target_rank(_steps(shuffled), scores, vocab), vocab
+
+
+@query
+def eval_shuffled(spark, sf_dir):
+    return _rounded(evaluate.ranking_metrics(_shuffled_ranks(spark, sf_dir)[0], strict=False, full_mrr=True))
+
+
+@query
+def eval_shuffled_by_kind(spark, sf_dir):
+    return _rounded(evaluate.metrics_by_kind(*_shuffled_ranks(spark, sf_dir)))
+
+
+@query
+def eval_shuffled_by_history(spark, sf_dir):
     return _rounded(evaluate.ranking_metrics(
-        evaluate.target_rank(_steps(shuffled), scores, _vocab(acts, train)), strict=False, full_mrr=True))
+        _shuffled_ranks(spark, sf_dir)[0], strict=False, full_mrr=True, by=["seen_before"]))
+
+
+@query
+def eval_batch_mean_whole(spark, sf_dir):
+    """Per-batch means without the incomplete last batch."""
+    return _rounded(evaluate.batch_means(stored(_session_popular_ranks(spark, sf_dir), "ranks"), whole_only=True))
 
 
 @query
