@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickpath.llm import bag_minhash, fair_mix, randomness, rule_cascade, string_tiling
-from clickpath.llm.common import table
+from clickpath.llm.common import forget, table, whole_text
 from clickpath.runtime import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
