@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,10 +43,15 @@ ARTICLE = frozenset(("article", "main"))
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
-MAX_DEPTH = 40  # deeper elements count as part of their ancestor there; their text stays
+#: Levels of a site's tree, each a round over all pages; what lies deeper shares the fate of its ancestor there.
+STYLE_DEPTH = 40
+# Elements that may stand in head, and those of tables, whose end tags leave a cell
+IN_HEAD = RAW | frozenset("base basefont bgsound link meta noscript noframes template title".split())
+TABLE = frozenset("table tr tbody thead tfoot td th caption".split())
+CELL = frozenset(("td", "th"))
 
 
 class Node:
@@ -74,11 +80,15 @@ def parse(page: str) -> Node:
     """A tolerant tree of the page: unclosed and misnested tags are mended as browsers mostly do."""
     root = Node("html")
     stack = [root]
+    open_: Counter[str] = Counter()  # elements on the stack, so that a long stack is not searched in vain
 
     def close_to(depth: int) -> None:
+        open_.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
     def find(tags: set[str], stop: set[str] = frozenset()) -> int:
+        if not any(open_[t] > 0 for t in tags):
+            return 0
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
                 return depth
@@ -86,23 +96,29 @@ def parse(page: str) -> Node:
                 break
         return 0
 
+    def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            close_to(len(stack) - 1)
+        stack[-1].items.append(html.unescape(text))
+
     at, end = 0, len(page)
+    last = page.rfind(">")
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else None
         if m is None:
             tail = page[at:]
             # a page cut inside a tag: what follows the last < is no text
             cut = re.search(r"<[/!?a-zA-Z][^>]*$", tail)
-            stack[-1].items.append(html.unescape(tail[:cut.start()] if cut else tail))
+            add_text(tail[:cut.start()] if cut else tail)
             break
         if m.start() > at:
-            stack[-1].items.append(html.unescape(page[at:m.start()]))
+            add_text(page[at:m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag or tag == "html":
             continue
         if m[1]:
-            depth = find({tag})
+            depth = find({tag}, CELL if tag not in TABLE else frozenset())
             if depth:
                 close_to(depth)
             continue
@@ -110,13 +126,13 @@ def parse(page: str) -> Node:
             close_to(depth)
         if tag in CLOSED_BY and (depth := find(CLOSED_BY[tag], SCOPE[tag])):
             close_to(depth)
-        if tag == "body" and (depth := find({"head"})):
+        if tag not in IN_HEAD and (depth := find({"head"})):  # body and head need no tags of their own
             close_to(depth)
         attributes = _attributes(m[3])
         node = Node(tag, f"{tag} {attributes.get('class', '')}".strip(), _skipped(tag, attributes))
         parent = stack[-1]
         if tag == "header":  # the page's own, not that of an article
-            node.skipped = node.skipped or not any(n.tag in ARTICLE for n in stack)
+            node.skipped = node.skipped or not any(open_[t] > 0 for t in ARTICLE)
         parent.items.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -124,10 +140,8 @@ def parse(page: str) -> Node:
             closing = re.compile(f"</{re.escape(tag)}\\b", re.I).search(page, at)
             at = page.find(">", closing.end()) + 1 or end if closing else end
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-        else:  # same text, no deeper node
-            node.tag = "span" if tag not in BLOCK else tag
+        stack.append(node)
+        open_[tag] += 1
     return root
 
 
@@ -146,23 +160,26 @@ def blocks_of(node: Node, cut: set[int] | frozenset = frozenset()) -> list[str]:
             out.append(block)
         inline.clear()
 
-    def walk(n: Node) -> None:
-        for item in n.items:
-            if isinstance(item, str):
-                inline.append(item)
-            elif item.skipped or item.number in cut:
-                if item.tag in BLOCK:
-                    flush()
-            elif item.tag == "br":
-                inline.append(" ")
-            elif item.tag in BLOCK:
+    # an entry is an iterator over a node's items and whether the node is a block of its own
+    stack = [(iter(node.items), False)]
+    while stack:
+        items, own_block = stack[-1]
+        item = next(items, None)
+        if item is None:
+            stack.pop()
+            if own_block:
                 flush()
-                walk(item)
+        elif isinstance(item, str):
+            inline.append(item)
+        elif item.skipped or item.number in cut:
+            if item.tag in BLOCK:
                 flush()
-            else:
-                walk(item)
-
-    walk(node)
+        elif item.tag == "br":
+            inline.append(" ")
+        else:
+            if item.tag in BLOCK:
+                flush()
+            stack.append((iter(item.items), item.tag in BLOCK))
     flush()
     return out
 
@@ -202,7 +219,8 @@ def style_nodes(root: Node) -> Iterator[tuple[int, int, int, str, int]]:
                     if item.look != last:
                         place, last = place + 1, item.look
                     item.number = _number(node.number, item.look) if depth == 0 else _number(style, place, item.look)
-                    following.append((item, node.number, depth + 1))
+                    if depth + 1 < STYLE_DEPTH:
+                        following.append((item, node.number, depth + 1))
         level = following
 
 
@@ -226,7 +244,7 @@ def importance(observed: DataFrame, damping: float = 0.9) -> DataFrame:
 
     ``most`` is the largest importance at or under the place. Works level by
     level from the deepest, on rows per place and not per page; there are at
-    most MAX_DEPTH levels.
+    most STYLE_DEPTH levels.
     """
     values = (observed.groupBy("host", "node", "parent", "depth", "what", "value")
               .agg(F.count_distinct("body").alias("c")))

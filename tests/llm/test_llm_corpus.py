@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -275,3 +276,23 @@ def test_pipeline(spark):
     assert counts[0] < docs.count() and counts[1] <= counts[0] and counts[3] == counts[2] == counts[4]
     leaked = string_tiling.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert before.join(leaked, "doc_id").count() == 0
+
+
+def test_pages_as_browsers_read_them():
+    def text(page):
+        return site_style.blocks_of(site_style.parse(page))
+
+    deep = "<div>" * 45 + "<nav>menu</nav><div class='advert'>ad</div>" + "</div>" * 45
+    assert text(f"<article><p>First</p>{deep}<p>Last</p></article>") == ["First", "Last"]
+    assert text("<html><head><title>T</title><p>para</p></html>") == ["para"]
+    assert text("<head><title>T</title>plain<p>q") == ["plain", "q"]
+    cell = "<div><article><p>a</p><table><tr><td>x</div>y</td></tr></table><p>b</p></article></div>"
+    assert text(cell) == ["a", "xy", "b"]
+    assert text("<div>" * 50_000 + "deep</i>" + "</div>" * 50_000) == ["deep"]
+
+
+@pytest.mark.parametrize("page", ['<a b"' * 100_000, '<a b"' * 100_000 + ">x", "<" * 300_000, "<p>" * 100_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    begin = time.perf_counter()
+    list(site_style.style_nodes(site_style.parse(page)))
+    assert time.perf_counter() - begin < 10
