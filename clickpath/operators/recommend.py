@@ -19,7 +19,8 @@ from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, SESSION, STEP
 
 SESSION_BLOCK = 1_000
-HEAVY = 1_024  # domains at most in a dense tile, 8 MB of counts
+#: Domains at most in a dense tile. Only what is in every few sessions meets itself often enough for one.
+HEAVY = 256
 
 
 def support(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,11 +139,13 @@ def knn_counts(visits: DataFrame, session: list[str], n_sims: int, lmbd: float,
         .select(DOMAIN, (F.col("n") / similarity_norm(F.col("size"), F.col("_other"), lmbd, alpha)).alias("sim"))
         .withColumn("_place", F.row_number().over(place)).where(F.col("_place") == n_sims)
         .select(DOMAIN, F.col("sim").alias("floor")))
-    known = sizes.join(floors, DOMAIN, "left")
-    if known.where("NOT heavy").isEmpty():
+    if sizes.where("NOT heavy").isEmpty():
         return dense, sizes
-    bound = F.least(F.col("size"), F.col("most") * F.col("o_sessions")) / similarity_norm(
-        F.col("size"), F.col("o_size"), lmbd, alpha)
+    # the two factors of similarity_norm, once per domain
+    known = (sizes.join(floors, DOMAIN, "left")
+             .withColumn("as_own", F.pow(F.col("size") + lmbd, F.lit(float(alpha))))
+             .withColumn("as_other", F.pow(F.col("size") + lmbd, F.lit(1.0 - alpha))))
+    bound = F.least(F.col("size"), F.col("most") * F.col("o_sessions")) / (F.col("as_own") * F.col("o_as_other"))
     wanted = ~(F.col("heavy") & F.col("o_heavy")) & (
         F.col("floor").isNull() | (bound * (1 + 1e-9) >= F.col("floor")))
     rest = _pair_counts(visits.join(known, DOMAIN), session, wanted=wanted)

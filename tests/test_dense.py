@@ -161,7 +161,7 @@ def test_heavy_domains_prune_pairs(spark):
                + ["h0"] * (n % 3) for n in range(400)}
     frame = spark.createDataFrame([(n, d) for n, items in baskets.items() for d in items], "session long, domain string")
     want = brute_knn(baskets, 5)
-    for heavy in (1, 40, 1_024):
+    for heavy in (1, 40, 256, 5_000):
         found = recommend.item_knn(frame, ["session"], n_sims=5, heavy=heavy)
         assert {(r.domain, r.other, round(r.sim, 9)) for r in found.collect()} == want
     visits = recommend.session_visits(frame, ["session"])
