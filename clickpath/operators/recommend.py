@@ -21,6 +21,9 @@ from clickpath.schema import DOMAIN, SESSION, STEP
 SESSION_BLOCK = 1_000
 #: Domains at most in a dense tile. Only what is in every few sessions meets itself often enough for one.
 HEAVY = 256
+#: Rows, and pairs, that a task holds in its hash table at most: as many tasks as the table asks for, whatever its bytes.
+ROWS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 21
 
 
 def support(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,8 +59,21 @@ def session_popular_scores(sessions: DataFrame, popular: DataFrame) -> DataFrame
 
 def session_visits(baskets: DataFrame, session: list[str]) -> DataFrame:
     """(session, domain, n), stored: co-occurrence reads it on both sides of a
-    self-join, the domain supports are sums over it."""
-    return stored(support(baskets, [*session, DOMAIN]), "visits")
+    self-join, the domain supports are sums over it.
+
+    Hardly any two rows are equal, so the rows themselves are dealt out, not
+    each scan task's table of them.
+    """
+    return stored(support(_dealt(baskets.select(*session, DOMAIN), [*session, DOMAIN]), [*session, DOMAIN]), "visits")
+
+
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by its keys, in tasks of about ROWS_AT_ONCE rows."""
+    return df.repartition(_tasks(df.count(), ROWS_AT_ONCE), *keys)
+
+
+def _tasks(n: int | None, at_once: int) -> int:
+    return max(1, -(-(n or 0) // at_once))
 
 
 def cooccurrence(baskets: DataFrame, session: list[str], block: int = SESSION_BLOCK) -> DataFrame:
@@ -67,7 +83,8 @@ def cooccurrence(baskets: DataFrame, session: list[str], block: int = SESSION_BL
     Rows are reduced to one per session and domain before the self-join. A
     session of more than ``block`` domains is cut into blocks of about that
     many, and each pair of blocks is joined apart: no task holds a whole long
-    session, no pair is lost.
+    session, no pair is lost. The number of pairs, known from the sessions'
+    lengths, gives the number of tasks.
     """
     return _pair_counts(session_visits(baskets, session), session, block)
 
@@ -76,16 +93,25 @@ def _pair_counts(visits: DataFrame, session: list[str], block: int = SESSION_BLO
                  wanted: Column | None = None) -> DataFrame:
     """Counts of pairs; ``wanted`` chooses by further columns of visits, those of ``other`` named o_*."""
     more = [c for c in visits.columns if c not in (*session, DOMAIN, "n")]
-    long = (visits.groupBy(*session).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-            .where(F.col("_blocks") > 1))
-    cut = (visits.join(long, session, "left")
-           .withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("bigint")))
-           .withColumn("_own", F.pmod(F.xxhash64(DOMAIN), "_blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
-    own = cut.select(*session, DOMAIN, "n", *more, F.col("_own").alias("_a"), every.alias("_b"))
-    others = cut.select(*session, F.col(DOMAIN).alias("other"), *[F.col(c).alias(f"o_{c}") for c in more],
-                        every.alias("_a"), F.col("_own").alias("_b"))
-    pairs = own.join(others, [*session, "_a", "_b"]).where(F.col(DOMAIN) != F.col("other"))
+    lengths = (_dealt(visits.select(*session), session).groupBy(*session)
+               .agg(F.count(F.lit(1)).alias("_length")))
+    squares, longest = lengths.agg(F.sum(F.col("_length") * F.col("_length")), F.max("_length")).first()
+    tasks = _tasks(squares, PAIRS_AT_ONCE)
+    keys, cut = session, visits
+    if longest and longest > block:
+        long = (lengths.where(F.col("_length") > block)
+                .select(*session, F.ceil(F.col("_length") / block).alias("_blocks")))
+        cut = (visits.join(long, session, "left")
+               .withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("bigint")))
+               .withColumn("_own", F.pmod(F.xxhash64(DOMAIN), "_blocks")))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+        keys = [*session, "_a", "_b"]
+    own_place = [] if cut is visits else [F.col("_own").alias("_a"), every.alias("_b")]
+    other_place = [] if cut is visits else [every.alias("_a"), F.col("_own").alias("_b")]
+    own = cut.select(*session, DOMAIN, "n", *more, *own_place)
+    others = cut.select(*session, F.col(DOMAIN).alias("other"), *[F.col(c).alias(f"o_{c}") for c in more], *other_place)
+    pairs = (own.repartition(tasks, *keys).join(others.repartition(tasks, *keys), keys)
+             .where(F.col(DOMAIN) != F.col("other")))
     return (
         (pairs if wanted is None else pairs.where(wanted))
         .groupBy(DOMAIN, "other").agg(F.sum("n").alias("n"))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -244,3 +245,22 @@ def test_random_scores_are_uniform_and_repeatable(spark):
     ranks = [r["rank"] for r in scoring.dense_target_rank(drawn, items, scoring.random_scorer).collect()]
     assert min(ranks) == 1 and max(ranks) == 20 and 8 < sum(ranks) / len(ranks) < 13
     assert 1 <= spark.range(1).select(seeded_residue(1, F.lit("a"))).first()[0] < scoring.PRIME
+
+
+def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Tasks grow with the visits and with the pairs that they make, not with the bytes that are shuffled."""
+    baskets = {n: [f"d{(n * 7 + k) % 23}" for k in range(6)] for n in range(200)}
+    frame = spark.createDataFrame([(n, d) for n, items in baskets.items() for d in items], "session long, domain string")
+    monkeypatch.setattr(recommend, "ROWS_AT_ONCE", 100)
+    monkeypatch.setattr(recommend, "PAIRS_AT_ONCE", 200)
+    want = {}
+    for items in baskets.values():
+        for a in items:
+            for b in set(items) - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    found = recommend.cooccurrence(frame, ["session"])
+    assert {(r.domain, r.other): r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[session#\d+L\], 36", plan)) == 2
+    spread = recommend.session_visits(frame, ["session"]).select(F.spark_partition_id(), F.input_file_name()).distinct()
+    assert spread.select(F.countDistinct("input_file_name()")).first()[0] == 12
