@@ -15,8 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from clickpath.schema import RUN, SESSION
 
 WORD_BLOCK = 65_536
-WORD_SHARD = 100_000
-SUMMED_AT_ONCE = 50_000
+WORD_SHARD = 50_000
+SUMMED_AT_ONCE = 10_000
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None) -> DataFrame:
@@ -62,17 +62,19 @@ def word_sums(rows: DataFrame, keys: list[str], words: str, vectors: DataFrame,
     A sparse matrix times the vectors, in tiles: occurrences, narrow rows, meet a
     block of about ``block`` words' vectors, and one sum per key and block leaves
     the task, whatever the number of words. Frequent words are spread over
-    shards of about ``shard_rows`` keys; rows of equal keys are one row. Keys
-    without a known word have no row.
+    shards of keys with about ``shard_rows`` occurrences; a shard is sent the
+    vectors of the words that it has, no others. Rows of equal keys are one row.
+    Keys without a known word have no row.
     """
     blocks = vectors.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block))).scalar().cast("bigint")
-    shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard_rows))).scalar().cast("bigint")
+    shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(words)) / shard_rows))).scalar().cast("bigint")
     left = (rows.select(*keys, F.explode(words).alias("word"))
             .withColumn("_block", F.pmod(F.xxhash64("word"), blocks))
             .withColumn("_shard", F.pmod(F.xxhash64(*keys), shards)))
+    wanted = left.select(F.col("_shard").alias("_to"), F.col("_block").alias("_of"), F.col("word").alias("_wanted")).distinct()
     right = (vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
-             .withColumn("_block", F.pmod(F.xxhash64("word"), blocks))
-             .withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), shards - 1))))
+             .join(wanted, F.col("word").eqNullSafe(F.col("_wanted")))
+             .select("word", "vec", F.col("_to").alias("_shard"), F.col("_of").alias("_block")))
 
     def product(found: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         at = pd.Index(known["word"]).get_indexer(found["word"])
@@ -80,7 +82,7 @@ def word_sums(rows: DataFrame, keys: list[str], words: str, vectors: DataFrame,
         if not len(found):
             return pd.DataFrame(columns=[*keys, "n", "sum"])
         matrix = np.stack(known["vec"].to_numpy())
-        groups = found.groupby(keys, sort=False)
+        groups = found.groupby(keys, sort=False, dropna=False)
         group = groups.ngroup().to_numpy()
         sums = np.zeros((groups.ngroups, matrix.shape[1]))
         for k in range(0, len(at), SUMMED_AT_ONCE):

@@ -212,3 +212,18 @@ def test_word_sums_in_tiles(spark):
         assert {r.k: r.n for r in found} == {k: n for k, (n, _) in want.items()}
         assert all(r.sum == pytest.approx(want[r.k][1].tolist()) for r in found)
     assert vectors.word_sums(frame, ["k"], "words", table.limit(0)).collect() == []
+
+
+def test_shards_get_the_vectors_of_their_words_only(spark):
+    """Vectors of words that no row has reach no tile: here they would not even fit in one."""
+    table = spark.range(1_000).selectExpr("cast(id AS string) AS word", "array_repeat(cast(id AS double), if(id < 60, 1, 2)) AS vec")
+    frame = spark.createDataFrame([(i, [str(i), "0"]) for i in range(60)], "k long, words array<string>")
+    found = vectors.word_sums(frame, ["k"], "words", table, 1 << 16, 12).collect()
+    assert {r.k: (r.n, r.sum) for r in found} == {i: (2, [float(i)]) for i in range(60)}
+
+
+def test_rows_without_a_key_do_not_add_to_others(spark):
+    frame = spark.createDataFrame([(None, ["a"]), (1, ["a"]), (None, ["a"])], "k long, words array<string>")
+    table = spark.createDataFrame([("a", [2.0])], "word string, vec array<double>")
+    found = vectors.word_sums(frame, ["k"], "words", table).collect()
+    assert {r.k: (r.n, r.sum) for r in found} == {None: (2, [4.0]), 1: (1, [2.0])}
