@@ -11,13 +11,13 @@ import functools
 import hashlib
 import itertools
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +31,7 @@ HEAD = struct.Struct("<4sHHQQ32s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8"), ("n", "<u8")])
 
 KNOWN_WORDS, KNOWN_BYTES = 800_000, 32 << 20  # what an encoder remembers at most
+TEXTS_AT_ONCE = 1 << 24  # characters whose words are looked up together
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,30 +43,75 @@ def _tokenizer(path: str):
 
 
 #: A plain word: printable ASCII without apostrophes (clitics) and < (special tokens), Latin letters; and its runs.
-_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-įı-ſ]+")
-_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ſ0-9]+")
+_PLAIN = "^[!-&(-;=-~À-ÖØ-öø-įı-ſ]+$"
+_RUNS = "([A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ſ0-9]+)"
 #: Words on which a tokenizer shows whether it parts plain words so.
 PROBES = ("ab,cd", "x--y", "a1b22", "###", "end.", "(Word)", "a_b", "50%", "q...", "e-mail", "7th", "Ab$$$", "**X**",
           "3.14", "[ok]", "THE", "a@b.org", "~`^", "x=y;z", "C++", "2024-01-31", "élève", "ÉTÉ!", "größe", "Œuvre", "ŠKODA")
 
 
 def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level models write for a byte: printable bytes themselves, the others from 256 on."""
+    """The letter that byte-level models write for a byte from 128 on: printable ones themselves, others from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {b: letters[b] for b in range(128, 256)}
 
 
 _LETTERS = _byte_letters()
 
 
+class _Ragged:
+    """Id arrays one after the other: array k is ``ids[ends[k]:ends[k + 1]]``."""
+
+    def __init__(self, kind: np.dtype):
+        self.ids, self.ends = np.empty(0, kind), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, each: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(each)])
+
+    def take(self, at: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends from 0 on) of the arrays at these places, in their order."""
+        length = self.ends[at + 1] - self.ends[at]
+        through = np.r_[0, np.cumsum(length)]
+        out = np.empty(int(through[-1]), self.ids.dtype)
+        for a in range(0, len(at), block):
+            z = min(a + block, len(at))
+            first, last = int(through[a]), int(through[z])
+            out[first:last] = self.ids[np.repeat(self.ends[at[a:z]] - through[a:z], length[a:z]) + np.arange(first, last)]
+        return out, through
+
+
+class _Known(_Ragged):
+    """Strings whose ids are remembered; ``ask`` gives (ids, their number for each) of new ones."""
+
+    def __init__(self, kind: np.dtype, ask: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        super().__init__(kind)
+        self.ask, self.places, self.held = ask, {}, 0
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """The places of different strings."""
+        keys = strings.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.places.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self.add(*self.ask(strings.take(pa.array(new))))
+            place[new] = np.arange(len(self.places), len(self.places) + len(new))
+            names = [keys[i] for i in new.tolist()]
+            self.places.update(zip(names, place[new].tolist()))
+            self.held += sum(map(len, names))
+        return place
+
+
 class Encoder:
     """Ids of texts, as arrays.
 
     ``by_word`` holds for tokenizers that drop white space and never look
-    across it: each different word is then encoded once and remembered. If the
-    tokenizer parts plain words into runs of letters, single digits and runs of
-    other characters, which PROBES show, runs go straight to its model.
+    across it: each different word of a group of texts is then encoded once. If
+    the tokenizer parts plain words into runs of letters, single digits and runs
+    of other characters, which PROBES show, runs go straight to its model. Runs
+    and words that are not plain are remembered.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -73,72 +119,76 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         whole = self._whole(list(PROBES))
+        self._forget()
         self.fold = next((fold for fold in (str.lower, str) if whole == [
-            [i for r in _RUNS.findall(p) for i in self._of_run(fold(r))] for p in PROBES]), None)
+            ids.tolist() for ids in self._parted(*self._of_plain(pa.array(PROBES, pa.large_string()), fold))]), None)
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.held = 0
-        self.ids = np.empty(0, self.kind)
-        self.ends = np.zeros(1, np.int64)
+        self.runs, self.others = _Known(self.kind, self._of_runs), _Known(self.kind, self._of_others)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_run(self, run: str) -> list[int]:
-        if not run.isascii():
-            run = "".join([_LETTERS[b] for b in run.encode()])
-        return [t.id for t in self.tokenizer.model.tokenize(run)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Remember new words, numbered on."""
-        found: list[list[int]] = [[]] * len(new)
-        other = []
-        texts = [w.decode() for w in new]
-        for k, word in enumerate(texts):
-            if self.fold is None or not _PLAIN.fullmatch(word):
-                other.append(k)
-                continue
-            ids: list[int] = []
-            for run in _RUNS.findall(self.fold(word)):
-                own = self.runs.get(run)
-                if own is None:
-                    own = self.runs[run] = self._of_run(run)
-                    self.held += len(run)
-                ids = ids + own if ids else own
-            found[k] = ids
-        for k, ids in zip(other, self._whole([texts[k] for k in other])):
-            found[k] = ids
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.held += sum(map(len, new))
+    @staticmethod
+    def _parted(ids: np.ndarray, through: np.ndarray) -> list[np.ndarray]:
+        return np.split(ids, through[1:-1])
+
+    def _of_others(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(words.to_pylist())
         each = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), self.kind, int(each.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(each)])
+        return np.fromiter(itertools.chain.from_iterable(found), self.kind, int(each.sum())), each
+
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Runs by the model alone, which sees the letters of their bytes."""
+        model, ids, each = self.tokenizer.model, [], []
+        for run in runs.to_numpy(zero_copy_only=False).tolist():
+            if not run.isascii():
+                run = run.encode().decode("latin-1").translate(_LETTERS)
+            own = [t.id for t in model.tokenize(run)]
+            ids += own
+            each.append(len(own))
+        return np.array(ids, self.kind), np.array(each, np.int64)
+
+    def _of_plain(self, words: pa.Array, fold: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends from 0 on) of plain words from those of their runs."""
+        folded = pc.utf8_lower(words) if fold is str.lower else words
+        marked = pc.replace_substring_regex(folded, _RUNS, "\\1\n")
+        parts = pc.split_pattern(pc.utf8_rtrim(marked, "\n"), "\n")
+        coded = parts.flatten().dictionary_encode()
+        ids, through = self.runs.take(self.runs.find(coded.dictionary)[coded.indices.to_numpy()])
+        return ids, through[parts.offsets.to_numpy()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(ids, self.kind) for ids in self._whole(texts)]
-        if len(self.words) > KNOWN_WORDS or self.held > KNOWN_BYTES:
+        known = self.runs, self.others
+        if sum(len(k.places) for k in known) > KNOWN_WORDS or sum(k.held for k in known) > KNOWN_BYTES:
             self._forget()
         # the words between blanks, tabs and line ends of ASCII, which any such tokenizer parts at
-        split = [text.encode().split() for text in texts]
-        words = list(itertools.chain.from_iterable(split))
-        number = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(number < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            number[missing] = [self.words[words[i]] for i in missing]
-        length = self.ends[number + 1] - self.ends[number]
-        through = np.r_[0, np.cumsum(length)]
-        flat = self.ids[np.repeat(self.ends[number] - through[:-1], length) + np.arange(int(through[-1]))]
-        ends = through[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-        return np.split(flat, ends[:-1])
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, _PLAIN) if self.fold else pa.array(np.zeros(len(words), bool))
+        found = _Ragged(self.kind)  # plain words first
+        if pc.any(plain).as_py():
+            ids, through = self._of_plain(words.filter(plain), self.fold)
+            found.add(ids, np.diff(through))
+        ids, through = self.others.take(self.others.find(words.filter(pc.invert(plain))))
+        found.add(ids, np.diff(through))
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(words))
+        flat, through = found.take(place[coded.indices.to_numpy()])
+        return self._parted(flat, through[split.offsets.to_numpy()])
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, by_word: bool) -> Encoder:
+    """One encoder a worker, which goes on with what it remembers in its next task."""
+    return Encoder(path, by_word)
 
 
-def _texts_at_once(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+def _texts_at_once(texts: pa.Array, most: int = TEXTS_AT_ONCE) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, texts) in groups of about ``most`` characters."""
     group, size, first = [], 0, 0
     for i, text in enumerate(texts):
@@ -162,7 +212,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, by_word: bool = True, samp
     share = min(1.0, sample_docs / max(docs.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, by_word)
+        encoder = encoder_of(tokenizer, by_word)
         for batch in batches:
             for _, texts in _texts_at_once(batch.column("text")):
                 out = []
@@ -241,7 +291,7 @@ def write(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int = 2, b
               .select("doc_id", "text", F.spark_partition_id().alias("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, by_word)
+        encoder = encoder_of(tokenizer, by_word)
         held: list[tuple[int | None, bytes]] = []
         size, before, seq, part = 0, 0, 0, 0
 

@@ -137,6 +137,29 @@ def test_words_and_runs_give_the_tokenizer_s_ids():
     assert [x.tolist() for x in token_files.Encoder(WORDS, by_word=False).encode(texts)] == want
 
 
+def test_a_worker_asks_the_model_once_for_each_run(monkeypatch):
+    encoder, asked = token_files.encoder_of(WORDS, True), []
+    assert token_files.encoder_of(WORDS, True) is encoder
+    encoder._forget()
+    for known in (encoder.runs, encoder.others):
+        monkeypatch.setattr(known, "ask", lambda new, ask=known.ask: (asked.extend(new.to_pylist()), ask(new))[1])
+    first = ["Zorbly, zorbly. zorbly!! it's", "", " \t zorbly\x1c9\x0b\n", "it's \u0416\u0438"]
+    texts = first + ["QUIX;zorbly 77", "it's"]
+    got = encoder.encode(first) + encoder.encode(texts[len(first):])
+    assert [x.tolist() for x in got] == [
+        e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and {"zorbly", "quix", "it's"} <= set(asked)
+
+
+def test_every_plain_letter_and_empty_texts():
+    encoder = token_files.Encoder(WORDS)
+    letters = [chr(c) for c in (*range(33, 127), *range(0xA0, 0x250))]
+    texts = [" ".join((c, c * 3, f"a{c}", f"{c}b7", f"x{c}{c}.")) for c in letters]
+    assert [x.tolist() for x in encoder.encode(texts)] == [
+        e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [len(x) for x in encoder.encode(["", " "])] == [0, 0]
+
+
 # the manifest
 
 def brute_manifest(rows):
