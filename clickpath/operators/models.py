@@ -8,10 +8,11 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickpath.functions.columns import seeded_number, seeded_residue
+from clickpath.operators.factors import alternated, sharded
 from clickpath.operators.numbering import dense_index, index_column, number_sessions
 from clickpath.operators.scoring import random_scorer, top_scores
 from clickpath.operators.vectors import lookup_vector
-from clickpath.runtime import shared_folder
+from clickpath.runtime import stored
 from clickpath.schema import DOMAIN, SESSION, STEP
 
 # Fixed value: the token closing a session in the corpus, three times
@@ -37,21 +38,25 @@ def domain_vectors(corpus: DataFrame, size: int = 50, iterations: int = 50, wind
 
 
 def item_factors(train: DataFrame, factors: int = 100, iterations: int = 10, seed: int = 1) -> DataFrame:
-    """(domain, vec): implicit-feedback factors of the domains by ALS."""
-    context = train.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # ALS cuts its lineage there
-        context.setCheckpointDir(shared_folder(train.sparkSession))
+    """(domain, vec): implicit-feedback factors of the domains by ALS.
+
+    Spark draws the first factors and makes the first round; the others, the
+    same least squares, solve a session by a system as large as it has domains.
+    """
     domains = index_column(train, DOMAIN, "item")
     sessions = number_sessions(train, first=0, name="session")
-    visits = (
+    visits, wanted, shards = sharded(
         train.groupBy(*SESSION, DOMAIN).agg(F.count(F.lit(1)).cast("float").alias("n"))
         .join(domains, DOMAIN).join(sessions, SESSION)
         .select(F.col("session").cast("int"), F.col("item").cast("int"), "n")
     )
-    model = ALS(rank=factors, maxIter=iterations, implicitPrefs=True, seed=seed,
-                userCol="session", itemCol="item", ratingCol="n").fit(visits)
-    return model.itemFactors.join(domains, F.col("id") == F.col("item")).select(
-        DOMAIN, F.col("features").cast("array<double>").alias("vec"))
+    # nothing is kept at the end, so the sessions' own step after the first round is never run
+    first = ALS(rank=factors, maxIter=min(iterations, 1), implicitPrefs=True, seed=seed, finalStorageLevel="NONE",
+                userCol="session", itemCol="item", ratingCol="n").fit(visits.drop("_shard"))
+    items = stored(first.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("vec")), "factors")
+    for _ in range(iterations - 1):
+        items = alternated(visits, wanted, shards, items, factors)
+    return items.join(domains, "item").select(DOMAIN, F.col("vec").cast("array<double>").alias("vec"))
 
 
 def random_scores(steps: DataFrame, vocab: DataFrame, k: int, seed: int = 0) -> DataFrame:

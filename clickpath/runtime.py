@@ -70,6 +70,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``stored`` gave and no later step reads."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete what ``stored`` has written in this application."""
     app = spark._jvm.org.apache.hadoop.fs.Path(

@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from clickpath.functions.columns import dot
-from clickpath.operators import models, numbering, scoring, sessions, vectors
+from clickpath.operators import factors, models, numbering, scoring, sessions, vectors
 from clickpath.operators.histories import nest_histories, order_history
 from clickpath.runtime import scratch_path, shared_folder, stored
 from clickpath.sources import events as sources
@@ -40,6 +44,29 @@ def test_als_factors_tell_planted_groups_apart(spark, visits):
     assert mixed.count() == 0
 
 
+def test_factors_are_those_of_spark_s_als(spark, visits, monkeypatch):
+    draw, solve, sizes = random.Random(2), np.linalg.solve, []
+    flat = visits({n: " ".join(f"d{draw.randrange(4 + n % 9)}" for _ in range(3 + n % 15)) for n in range(300)})
+    flat = flat.union(visits({n: " ".join(f"r{draw.randrange(40)}" for _ in range(20)) for n in range(300, 310)}, guid=2))
+    ids = flat.groupBy("guid", "session_no", "domain").agg(F.count(F.lit(1)).cast("float").alias("n")).join(
+        numbering.index_column(flat, "domain", "item"), "domain").join(
+        numbering.number_sessions(flat, first=0, name="session"), ["guid", "session_no"]).select(
+        F.col("session").cast("int"), F.col("item").cast("int"), "domain", "n").cache()
+    monkeypatch.setattr(factors, "SHARD_SESSIONS", 128)
+    for rank, iterations in ((12, 3), (5, 2)):
+        model = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=4, userCol="session", itemCol="item",
+                    ratingCol="n").fit(ids)
+        want = {r.domain: r.features for r in model.itemFactors.join(
+            ids.select("domain", F.col("item").alias("id")).distinct(), "id").collect()}
+        got = {r.domain: r.vec for r in models.item_factors(flat, rank, iterations, seed=4).collect()}
+        assert got.keys() == want.keys()
+        assert max(np.abs(np.subtract(got[d], want[d])).max() for d in want) < 2e-4 * max(map(max, want.values()))
+    monkeypatch.setattr(factors.np.linalg, "solve", lambda a, b: sizes.append(a.shape[-1]) or solve(a, b))
+    known, at, number = np.random.default_rng(1).normal(size=(9, 30)), np.array([0, 3, 8, 1, 3]), np.array([0, 0, 0, 1, 1])
+    factors._sessions(known, at, np.ones(5), number, known.T @ known, 0.1)
+    assert sorted(sizes) == [2, 3]  # systems as large as sessions have domains, not as there are factors
+
+
 def test_negative_samples_follow_the_rows(visits):
     flat = visits({i: "a b" if i < 90 else "c d" for i in range(100)})
     drawn = models.negative_samples(flat, seed=1)
